@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontamination, quality, secrets
+from . import decontamination, pieces, quality, secrets
 from .common import table
 
 
@@ -16,9 +17,15 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text as a digest, and whether decoding them gives the text again."""
+    encoded = pieces.encode(table(spark, sf_dir, "documents"))
+    return encoded.select("doc_id", "n_pieces", "n_bytes", F.sha2(F.array_join("pieces", " ").cast("binary"), 256).alias("pieces_sha256"), "exact")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
