@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, pieces, quality, secrets
+from . import decontamination, pieces, quality, secrets, url_filter
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text as a digest, and whether decoding them gives the text again."""
     encoded = pieces.encode(table(spark, sf_dir, "documents"))
@@ -27,5 +31,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
