@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, pieces, quality, secrets, url_filter
+from . import decontamination, html_text, line_dedup, pieces, quality, secrets, url_filter
 from .common import table
 
 
@@ -21,6 +21,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_verdicts(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.summary(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -35,5 +39,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op7_html_text": op7_html_text, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
