@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, line_dedup, pieces, quality, secrets, url_filter
+from . import decontamination, html_text, line_dedup, minhash, pieces, quality, secrets, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text as a digest, and whether decoding them gives the text again."""
     encoded = pieces.encode(table(spark, sf_dir, "documents"))
@@ -39,5 +43,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
