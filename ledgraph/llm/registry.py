@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, line_dedup, minhash, pieces, quality, secrets, url_filter
+from . import decontamination, html_text, line_dedup, minhash, pieces, quality, secrets, suffix_dedup, url_filter
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share a passage of 50 words or more with another one."""
+    return suffix_dedup.summary(suffix_dedup.repeats(table(spark, sf_dir, "documents")))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"))
 
@@ -43,5 +48,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
