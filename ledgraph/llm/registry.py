@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, html_text, line_dedup, minhash, pieces, quality, secrets, suffix_dedup, url_filter
+from . import decontamination, html_text, line_dedup, lm_score, minhash, pieces, quality, secrets, suffix_dedup, url_filter
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.summary(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -48,5 +52,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
+QUERIES = {"op1_secrets": op1_secrets, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
 ORACLES: dict[str, str] = {}
