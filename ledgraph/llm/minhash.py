@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .adjacency import adjacent
 from .common import written
 from .components import components
 
@@ -142,57 +143,10 @@ def document_sets(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
 
 def neighbours(forest: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes that stand next to each other in a tree and share its first group.
-
-    The classes are sorted over the cluster by the whole order, so a dense region
-    is spread over tasks; what stands at the tasks' ends is joined afterwards
-    (two small rows a task).
-    """
+    """Pairs (a, b, na, nb) of classes that stand next to each other in a tree and share its first group."""
     order = ["tree", *(f"g{i}" for i in range(DEPTH)), "node"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        task = TaskContext.get().partitionId()
-        last = None
-        for part in batches:
-            if not part.num_rows:
-                continue
-            tree, g0, n = (np.asarray(part.column(part.schema.get_field_index(c))) for c in ("tree", "g0", "n"))
-            node = part.column(part.schema.get_field_index("node"))
-            same = (tree[1:] == tree[:-1]) & (g0[1:] == g0[:-1])
-            at = np.flatnonzero(same)
-            a, b = node.take(pa.array(at)).to_pylist(), node.take(pa.array(at + 1)).to_pylist()
-            na, nb = n[at].tolist(), n[at + 1].tolist()
-            head = (int(tree[0]), int(g0[0]), node[0].as_py(), int(n[0]))
-            if last is None:
-                yield _ends([(task * 2, *head)])
-            elif last[:2] == head[:2]:
-                a, b, na, nb = [*a, last[2]], [*b, head[2]], [*na, last[3]], [*nb, head[3]]
-            last = (int(tree[-1]), int(g0[-1]), node[-1].as_py(), int(n[-1]))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(na, pa.int64()), pa.array(nb, pa.int64()), *(pa.nulls(len(a), t) for t in (pa.int64(), pa.int32(), pa.int64()))],
-                names=["a", "b", "na", "nb", "at", "tree", "g0"],
-            )
-        if last is not None:
-            yield _ends([(task * 2 + 1, *last)])
-
-    def _ends(rows: list[tuple]) -> pa.RecordBatch:
-        at, tree, g0, node, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array(node, pa.binary()), pa.nulls(len(at), pa.binary()), pa.array(n, pa.int64()), pa.nulls(len(at), pa.int64()), pa.array(at, pa.int64()), pa.array(tree, pa.int32()), pa.array(g0, pa.int64())],
-            names=["a", "b", "na", "nb", "at", "tree", "g0"],
-        )
-
-    sorted_rows = forest.repartitionByRange(*order).sortWithinPartitions(*order)
-    found = written(sorted_rows.mapInArrow(run, "a binary, b binary, na long, nb long, at long, tree int, g0 long"), "neighbours")
-    # two rows a task at most: the ends of the tasks' ranges
-    ends = sorted(found.where("at is not null").collect(), key=lambda r: r["at"])
-    seams = [(x["a"], y["a"], x["na"], y["na"]) for x, y in zip(ends, ends[1:], strict=False) if x["at"] % 2 == 1 and (x["tree"], x["g0"]) == (y["tree"], y["g0"])]
-    pairs = found.where("at is null").select("a", "b", "na", "nb")
-    if seams:
-        pairs = pairs.unionByName(found.sparkSession.createDataFrame(seams, pairs.schema))
-    return pairs
+    found = adjacent(forest, order, ["tree", "g0"], ["node", "n"], "neighbours")
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
 
 
 def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
@@ -250,14 +204,16 @@ def unfinished(forest: DataFrame, labels: DataFrame) -> DataFrame:
     return rest.join(facing, ["tree", "g0"]).where("la != lb").select("a", "b", "na", "nb")
 
 
-def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per document: n_shingles, component_id (the smallest id in reach) and kept (whether it has that id)."""
+def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, mark, n, node, least) of each document; least is the (id, mark) of its component's first document, null for empty sets."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     sets = written(document_sets(docs, id_col=id_col, text_col=text_col, shingle=shingle), "sets")
     place = F.struct("id", "mark")
+    named = F.when(F.col("id").isNotNull(), place)
     classes = written(
-        sets.where("node is not null").groupBy("node").agg(F.min(F.when(F.col("id").isNotNull(), place)).alias("named"), F.min(place).alias("any"), F.max("n").alias("n"), F.max("groups").alias("groups"))
-        .select("node", F.coalesce("named", "any").alias("first"), "n", "groups"),
+        sets.where("node is not null")
+        .groupBy("node")
+        .agg(F.coalesce(F.min(named), F.min(place)).alias("first"), F.max("n").alias("n"), F.max("groups").alias("groups")),
         "classes",
     )
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.get("groups", (t + i) % TREES).alias(f"g{i}") for i in range(DEPTH))))
@@ -271,8 +227,23 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     links = links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent))
     labels = components(links)
     of_class = classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
-    named = of_class.groupBy("label").agg(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))).alias("least"))
-    component = of_class.join(named, "label").select("node", F.col("least.id").alias("component"))
-    out = sets.select("id", "n", "node").join(component, "node", "left")
-    component_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component"))
+    # a null id stands behind all others
+    least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"))
+    component = of_class.join(least, "label").select("node", "least")
+    return sets.select("id", "mark", "n", "node").join(component, "node", "left")
+
+
+def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """Per document: n_shingles, component_id (the smallest id in reach) and kept (whether it has that id)."""
+    out = groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    component_id = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("least.id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component_id.alias("component_id"), F.col("id").eqNullSafe(component_id).alias("kept"))
+
+
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The first document of each component, and all without words, with all their columns; rows alike in id and text are one."""
+    out = groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    stay = out.where(F.col("node").isNull() | F.struct("id", "mark").eqNullSafe(F.col("least"))).select(F.col("id").alias("__i"), F.col("mark").alias("__m")).distinct()
+    marked = docs.withColumn("__mark", F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
+    return kept.dropDuplicates([id_col, "__mark"]).drop("__mark")
