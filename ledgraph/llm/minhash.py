@@ -9,15 +9,18 @@ orders the classes by the groups t, t+1, ... (each group one step of depth).
 
 1. In the first ``SORTED_TREES`` trees the classes are sorted over the cluster,
    and neighbours that share a prefix are candidates: those with the longest
-   common prefix.  Their links are confirmed on the full sets and joined to
-   components.  A dense region costs a few candidates a class, not its square.
+   common prefix.  In dense regions each class is also compared with the most
+   typical one.  Links are confirmed on the full sets and joined to components.
+   A dense region costs a few candidates a class, not its square.
 2. In all trees, the regions (classes that share the first group) that still
-   hold several components are finished: each class outside a region's largest
-   component is compared with all classes of the region in other components.
-   Regions that are one component are done, however dense.
-
-So every pair that shares a first group in some tree either is in one component
-or is compared: dense regions go deeper into the sorted order, and none is cut.
+   hold several components are finished.  In small ones each class outside the
+   largest component is compared with all classes in other components.  Dense
+   ones go deeper: an exact prefix filter over their shingles, rare ones first,
+   leaves the pairs that can reach the threshold.  Regions that are one
+   component are done, however dense.
+
+So every pair that shares a first group in some tree is in one component, or is
+compared, or is proven to be below the threshold; no region is cut.
 A pair at 0.85 shares none of 16 first groups of 4 with probability 1e-5.
 
 Links are confirmed by comparing the two texts' full shingle sets.
@@ -49,6 +52,10 @@ GROUP = 4
 SORTED_TREES = 4
 DEPTH = 4
 """Groups that the sorted order looks at."""
+DENSE = 32
+"""Classes of a region beyond which its rest is finished by the prefix filter."""
+SLOTS = 1 << 20
+"""Counters of the table that orders shingles by rarity: 8 MB, whatever the corpus."""
 _SEED = np.random.default_rng(88172645).integers(1, 1 << 63, (TREES * GROUP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -155,13 +162,16 @@ def _ordered(pairs: DataFrame, percent: int) -> DataFrame:
     return fit.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def texts_of(nodes: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """(node, text): one text for each class, taken by document."""
+    places = nodes.join(classes.select("node", F.col("first.id").alias("i"), F.col("first.mark").alias("m")), "node")
+    own = texts.join(places, F.col("id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m"))).select("node", "text")
+    return own.dropDuplicates(["node"])
+
+
 def confirmed(pairs: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets have 100 * intersection >= percent * union."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    places = wanted.join(classes.select("node", F.col("first.id").alias("i"), F.col("first.mark").alias("m")), "node")
-    # one text for each class that takes part, by document
-    own = texts.join(places, F.col("id").eqNullSafe(F.col("i")) & F.col("mark").eqNullSafe(F.col("m"))).select("node", "text")
-    own = written(own.dropDuplicates(["node"]), "texts")
+    own = written(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), classes, texts), "texts")
     both = pairs.join(own.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a").join(own.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,18 +200,94 @@ def intersections(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray,
     return np.bincount(left[0][twice[found] == x], minlength=n)
 
 
-def unfinished(forest: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) across the components that a region still holds."""
-    members = written(
-        forest.select("tree", "g0", "node", "n").join(labels, "node", "left").select("tree", "g0", "node", "n", F.coalesce("label", "node").alias("label")), "members"
-    )
-    split = members.groupBy("tree", "g0").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tree", "g0")
-    open_members = members.join(split, ["tree", "g0"])
-    sized = open_members.groupBy("tree", "g0", "label").agg(F.count("*").alias("c"))
-    largest = sized.groupBy("tree", "g0").agg(F.max(F.struct("c", "label")).alias("top")).select("tree", "g0", F.col("top.label").alias("main"))
-    rest = open_members.join(largest, ["tree", "g0"]).where("label != main").select("tree", "g0", F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-    facing = members.select("tree", "g0", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-    return rest.join(facing, ["tree", "g0"]).where("la != lb").select("a", "b", "na", "nb")
+def across(rows: DataFrame, on: list[str], condition, values: list[str]) -> DataFrame:
+    """Pairs of rows that agree in ``on`` and differ in label: those outside the largest label against all others.
+
+    What has one label makes no pairs, however much of it there is.  Columns: a_* and b_* of the values.
+    """
+    split = rows.groupBy(*on).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(*on)
+    open_rows = rows.join(split, on)
+    sized = open_rows.groupBy(*on, "label").agg(F.count("*").alias("c"))
+    largest = sized.groupBy(*on).agg(F.max(F.struct("c", "label")).alias("top")).select(*on, F.col("top.label").alias("main"))
+    rest = open_rows.join(largest, on).where("label != main").select(*on, *(F.col(v).alias(f"a_{v}") for v in [*values, "label"]))
+    facing = rows.select(*on, *(F.col(v).alias(f"b_{v}") for v in [*values, "label"]))
+    return rest.join(facing, on).where((F.col("a_label") != F.col("b_label")) & condition)
+
+
+def dense_pairs(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """All pairs (a, b) of dense nodes (node, n, label) in different components that can reach the threshold.
+
+    An exact prefix filter: two sets with enough in common share one of their first shingles, in any
+    order of all shingles; rare ones come first.  The order comes from counts in a table of fixed size.
+    A shingle that only one set has is skipped.  The places of the shared shingle bound what two sets
+    can have in common, which leaves out sets that are alike, but not enough.
+    """
+    own = dense.join(texts, "node")
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, np.int64)
+        for part in bw.batches_of(batches, "text"):
+            _, h = shingles(*bw.text_buffer(part.column(0)), shingle)
+            total += np.bincount((h % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["slot", "c"])
+
+    counted = own.select("text").mapInArrow(tally, "slot long, c long").groupBy("slot").agg(F.sum("c").alias("c")).toArrow()  # at most SLOTS rows
+    table = np.zeros(SLOTS, np.int64)
+    table[np.asarray(counted["slot"])] = np.asarray(counted["c"])
+    shared = texts.sparkSession.sparkContext.broadcast(table)
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = shared.value
+        for part in bw.batches_of(batches, "text"):
+            doc, h = shingles(*bw.text_buffer(part.column(part.schema.get_field_index("text"))), shingle)
+            often = counts[(h % np.uint64(SLOTS)).astype(np.int64)]
+            order = np.lexsort((h, often, doc))
+            doc, h, often = doc[order], h[order], often[order]
+            size = np.bincount(doc, minlength=part.num_rows)
+            first = np.cumsum(size) - size
+            place = np.arange(len(doc)) - first[doc]
+            keep = np.flatnonzero((place < (size - -(-percent * size // 100) + 1)[doc]) & (often > 1))
+            rows = pa.array(doc[keep])
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(part.schema.get_field_index(c)).take(rows) for c in ("node", "n", "label")), pa.array(h[keep].view(np.int64)), pa.array(place[keep])], names=["node", "n", "label", "h", "place"]
+            )
+
+    rows = written(own.select("node", "n", "label", "text").mapInArrow(prefixes, "node binary, n long, label binary, h long, place long"), "prefixes")
+    least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
+    enough = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
+    found = across(rows, ["h"], (least * 100 >= most * percent) & enough, ["node", "n", "place"])
+    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).distinct()
+
+
+def crowded(classes: DataFrame) -> DataFrame:
+    """(tree, g0.., node, n, size): the places of all classes in all trees whose region holds another class."""
+    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.get("groups", (t + i) % TREES).alias(f"g{i}") for i in range(DEPTH))))
+    forest = classes.select("node", "n", F.explode(trees).alias("at")).select("node", "n", "at.*")
+    sizes = forest.groupBy("tree", "g0").agg(F.count("*").alias("size")).where("size > 1")
+    return forest.join(sizes, ["tree", "g0"])
+
+
+def pivots(forest: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) of each class in a dense region and the region's most typical class: that whose regions are largest in all trees."""
+    score = forest.groupBy("node").agg(F.sum("size").alias("score"))
+    dense = forest.where(F.col("size") > DENSE).select("tree", "g0", "node", "n").join(score, "node")
+    typical = dense.groupBy("tree", "g0").agg(F.max(F.struct("score", "node", "n")).alias("p")).select("tree", "g0", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
+    return dense.join(typical, ["tree", "g0"]).select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+
+
+def unfinished(forest: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) across the components that a region still holds: all in small regions, by prefix filter in dense ones."""
+    members = written(forest.select("tree", "g0", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+    small = members.where(F.col("size") <= DENSE)
+    pairs = across(small, ["tree", "g0"], F.lit(True), ["node", "n"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
+    crowd = members.where(F.col("size") > DENSE)
+    split = crowd.groupBy("tree", "g0").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tree", "g0")
+    dense = written(crowd.join(split, ["tree", "g0"]).select("node", "n", "label").distinct(), "dense")
+    if not dense.isEmpty():
+        own = written(texts_of(dense.select("node"), classes, texts), "texts")
+        pairs = pairs.unionByName(dense_pairs(dense, own, shingle=shingle, percent=percent))
+    return pairs
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -216,13 +302,12 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         .agg(F.coalesce(F.min(named), F.min(place)).alias("first"), F.max("n").alias("n"), F.max("groups").alias("groups")),
         "classes",
     )
-    trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.get("groups", (t + i) % TREES).alias(f"g{i}") for i in range(DEPTH))))
-    forest = classes.select("node", "n", F.explode(trees).alias("at")).select("node", "n", "at.*")
-    sorted_trees = classes.select("node", "n", F.explode(F.slice(trees, 1, SORTED_TREES)).alias("at")).select("node", "n", "at.*")
-    first = written(_ordered(neighbours(sorted_trees), percent), "pairs")
+    forest = written(crowded(classes), "forest")
+    near = neighbours(forest.where(F.col("tree") < SORTED_TREES)).unionByName(pivots(forest))
+    first = written(_ordered(near, percent), "pairs")
     links = written(confirmed(first, classes, texts, shingle=shingle, percent=percent), "confirmed")
     labels = written(components(links), "labels")
-    more = _ordered(unfinished(forest, labels), percent)
+    more = _ordered(unfinished(forest, labels, classes, texts, shingle=shingle, percent=percent), percent)
     more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent))
     labels = components(links)
