@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from functools import cache
+
+from pyspark.sql.types import StructType
+
 from .values import PROPERTIES, VALUE
 
 _OPERANDS = {
@@ -18,3 +22,9 @@ ENTRY_NAMES = ["hash", "author", "clock_id", "physical_ms", "logical", "next", "
 NODES = f"node_id string, node_type string, subtype string, label string, properties {PROPERTIES}, live boolean"
 EDGES = f"edge_id string, edge_type string, source_id string, target_id string, properties {PROPERTIES}, live boolean"
 OBSERVATIONS = "source string, timestamp_ms bigint, value double, metadata map<string,string>"
+
+
+@cache
+def layout() -> StructType:
+    """The log's schema (parsed by Spark, so only once a session is there)."""
+    return StructType.fromDDL(OPLOG)

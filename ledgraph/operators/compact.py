@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.schema import CHECKPOINT, ENTRY_NAMES, OPERAND_NAMES
+from ..functions.scratch import written
 from .oplog import OpLog, with_hash
 from .replay import Materialized
 
@@ -74,10 +75,10 @@ def _order(a: Column, b: Column) -> Column:
 
 def compact(log: OpLog, m: Materialized, author: str, physical_ms: int) -> OpLog:
     """A log of the checkpoint and the quarantined entries, re-rooted at it."""
-    root = checkpoint(log, m, author, physical_ms)
+    root = written(checkpoint(log, m, author, physical_ms), "checkpoint")
     hash_ = root.first()["hash"]
     kept = log.df.join(m.quarantine.select("hash").distinct(), "hash", "left_semi").drop("hash").withColumn("next", F.array(F.lit(hash_)))
-    return OpLog(root.select(*ENTRY_NAMES).unionByName(with_hash(kept)))
+    return OpLog(root.select(*ENTRY_NAMES).unionByName(written(with_hash(kept), "carried")))
 
 
 class CompactionPolicy(Protocol):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.schema import ENTRY_NAMES, OPERAND_NAMES
+from ..functions.schema import ENTRY_NAMES, OPERAND_NAMES, layout
 from . import replay, traverse
 from .graph import Graph
 from .ontology import Ontology
@@ -150,10 +150,6 @@ def with_logical(df: DataFrame, by: str, order: str) -> DataFrame:
 
 def with_hash(df: DataFrame) -> DataFrame:
     """Rows in the log's layout, absent columns null, with their hashes."""
-    from ..functions.schema import OPLOG
-    from pyspark.sql.types import StructType
-
-    layout = StructType.fromDDL(OPLOG)
-    kept = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in layout]
+    kept = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in layout()]
     out = df.select(*kept).withColumn("next", F.coalesce("next", F.array().cast("array<string>")))
     return out.withColumn("hash", F.coalesce("hash", entry_hash())).select(*ENTRY_NAMES)

@@ -7,10 +7,9 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from ..functions.clock import HybridClock
-from ..functions.schema import ENTRY_NAMES, OPLOG
+from ..functions.schema import ENTRY_NAMES, layout
 from ..functions.values import encode, encode_all
 from ..operators import compact as compaction
 from ..operators import signing, sync
@@ -20,8 +19,6 @@ from ..operators.oplog import OpLog, with_hash
 from ..operators.query import Query
 from ..operators.replay import Materialized
 
-LAYOUT = StructType.fromDDL(OPLOG)
-
 
 class ValidationError(ValueError):
     """An operation that the schema or the present graph refuses."""
@@ -63,7 +60,7 @@ class GraphStore:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, instance_id: str | None = None) -> GraphStore:
-        found = spark.read.schema(LAYOUT).parquet(path)
+        found = spark.read.schema(layout()).parquet(path)
         first = found.orderBy("physical_ms", "logical", "hash").select("author").first()
         if first is None:
             raise ValueError("the store is empty")
@@ -87,7 +84,7 @@ class GraphStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
             return None
-        return self.spark.read.schema(LAYOUT).parquet(path)
+        return self.spark.read.schema(layout()).parquet(path)
 
     # -- writes -------------------------------------------------------------
 
@@ -96,7 +93,7 @@ class GraphStore:
         row = dict.fromkeys(ENTRY_NAMES) | dict(fields)
         row |= {"author": self.instance_id, "clock_id": self.instance_id, "physical_ms": self.clock.physical_ms, "logical": self.clock.logical, "next": sorted(self._heads)}
         # the digest is that of the SQL expression, so that any reader can verify it
-        entry = with_hash(self.spark.createDataFrame([tuple(row[c] for c in LAYOUT.names)], LAYOUT)).first().asDict(recursive=True)
+        entry = with_hash(self.spark.createDataFrame([tuple(row[c] for c in layout().names)], layout())).first().asDict(recursive=True)
         if self._key is not None:
             entry["signature"] = signing.sign(self._key, bytes.fromhex(entry["hash"]))
         self._pending.append(entry)
@@ -164,7 +161,7 @@ class GraphStore:
         self.flush()
         if self.path:
             entries.write.mode("append").parquet(self.path)
-            self._stored = self.spark.read.schema(LAYOUT).parquet(self.path)
+            self._stored = self.spark.read.schema(layout()).parquet(self.path)
         else:
             self._stored = entries if self._stored is None else self._stored.unionByName(entries)
         self.clock = HybridClock(self.instance_id, self.clock.physical_ms, self.clock.logical + n + 1)
@@ -181,10 +178,10 @@ class GraphStore:
         """One append for all waiting entries."""
         n = len(self._pending)
         if n:
-            rows = self.spark.createDataFrame([tuple(e[c] for c in LAYOUT.names) for e in self._pending], LAYOUT)
+            rows = self.spark.createDataFrame([tuple(e[c] for c in layout().names) for e in self._pending], layout())
             if self.path:
                 rows.coalesce(1).write.mode("append").parquet(self.path)
-                self._stored = self.spark.read.schema(LAYOUT).parquet(self.path)
+                self._stored = self.spark.read.schema(layout()).parquet(self.path)
             else:
                 self._stored = rows if self._stored is None else self._stored.unionByName(rows)
             self._pending = []
@@ -249,7 +246,7 @@ class GraphStore:
             fresh = incoming.dropDuplicates(["hash"]).join(self.log.df.select("hash"), "hash", "left_anti").select(*ENTRY_NAMES)
             if self.path:
                 fresh.write.mode("append").parquet(self.path)
-                self._stored = self.spark.read.schema(LAYOUT).parquet(self.path)
+                self._stored = self.spark.read.schema(layout()).parquet(self.path)
             else:
                 self._stored = merged.df
             self._heads = [r["hash"] for r in self.log.heads().collect()]
@@ -305,7 +302,7 @@ class GraphStore:
         small = written(compaction.compact(self.log, self.materialize(), self.instance_id, self.clock.physical_ms).df, "compacted")
         if self.path:
             small.write.mode("overwrite").parquet(self.path)
-            small = self.spark.read.schema(LAYOUT).parquet(self.path)
+            small = self.spark.read.schema(layout()).parquet(self.path)
         self._stored, self._base, self._materialized = small, None, None
         self._heads = [r["hash"] for r in self.log.heads().collect()]
         return small.where("op = 'checkpoint'").first()["hash"]
