@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, html_text, line_dedup, lm_score, minhash, pieces, quality, secrets, suffix_dedup, url_filter
 from .common import table
+from .oracles import ORACLES
 
 
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,5 +53,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
-QUERIES = {"op1_secrets": op1_secrets, "op2_suffix_dedup": op2_suffix_dedup, "op3_quality": op3_quality, "op4_url_filter": op4_url_filter, "op5_line_dedup": op5_line_dedup, "op6_lm_score": op6_lm_score, "op7_html_text": op7_html_text, "op8_near_duplicates": op8_near_duplicates, "op9_sentencepiece": op9_sentencepiece, "op10_decontamination": op10_decontamination}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_secrets,
+        op2_suffix_dedup,
+        op3_quality,
+        op4_url_filter,
+        op5_line_dedup,
+        op6_lm_score,
+        op7_html_text,
+        op8_near_duplicates,
+        op9_sentencepiece,
+        op10_decontamination,
+    )
+}
+__all__ = ["ORACLES", "QUERIES"]
