@@ -43,7 +43,9 @@ DEPTH = 3
 CLASSES = 40
 HOLD_OUT = (7, 2)
 """Modulus and remainder of crc32(id) that is held out."""
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
+"""Text bytes that are worked on at once; the byte codes take some 40 bytes a byte."""
 END = 0xFF
 
 
@@ -180,7 +182,7 @@ def context_counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for part in bw.batches_of(batches, "text"):
+        for part in bw.batches_of(batches, "text", SHARD_BYTES):
             got, n = np.unique(codes(*bw.text_buffer(part.column(0)))[0], return_counts=True)
             both = np.concatenate([code, got])
             code, where = np.unique(both, return_inverse=True)
@@ -204,7 +206,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
             kept.clear()
             return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
 
-        for part in bw.batches_of(batches, "text"):
+        for part in bw.batches_of(batches, "text", SHARD_BYTES):
             data, offsets = bw.text_buffer(part.column(0))
             kept.append(np.unique(bw.words(data, offsets, bw.NOT_SPACE).hash, return_counts=True))
             size += len(data)
@@ -252,7 +254,7 @@ def _postings(rows: DataFrame, kind: str, shared) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(h[lead[lo:hi]].view(np.int64)), pa.array(np.full(hi - lo, block)), packed, *none], names=names)
 
         key_type = pa.int64()
-        for part in bw.batches_of(batches, "text"):
+        for part in bw.batches_of(batches, "text", SHARD_BYTES):
             key_type = part.column(0).type
             data, offsets = bw.text_buffer(part.column(1))
             if kept and (size + len(data) > BLOCK_BYTES or n_docs + part.num_rows >= 1 << 24):
