@@ -15,6 +15,7 @@ before the shuffle and a very hot entity is no single task's burden:
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -59,20 +60,21 @@ def fold_schema(oplog: DataFrame, base: Ontology | None = None) -> tuple[Ontolog
 
 def operations(oplog: DataFrame, positions: DataFrame | None = None) -> DataFrame:
     """One row per operation, checkpoints taken apart, with pos, the clock and the rank among property writes."""
-    plain = oplog.where("op != 'checkpoint'").select("hash", "physical_ms", "logical", "clock_id", *OPERAND_NAMES, F.lit(1).alias("rank"), F.lit(0).alias("inner"))
+    plain = oplog.where("op != 'checkpoint'").select("hash", "physical_ms", "logical", "clock_id", *OPERAND_NAMES, F.lit(1).alias("rank"), F.lit(0).alias("inner"), clock().alias("placed"))
     boxed = (
         oplog.where("op = 'checkpoint'")
-        .select("hash", "clock_id", F.posexplode("ckpt_ops").alias("inner", "x"))
-        .select("hash", F.col("x.physical_ms").alias("physical_ms"), F.col("x.logical").alias("logical"), F.coalesce("x.clock_id", "clock_id").alias("clock_id"), *(F.col(f"x.{c}").alias(c) for c in OPERAND_NAMES), F.lit(0).alias("rank"), "inner")
+        .select("hash", "clock_id", clock().alias("placed"), F.posexplode("ckpt_ops").alias("inner", "x"))
+        .select("hash", F.col("x.physical_ms").alias("physical_ms"), F.col("x.logical").alias("logical"), F.coalesce("x.clock_id", "clock_id").alias("clock_id"), *(F.col(f"x.{c}").alias(c) for c in OPERAND_NAMES), F.lit(0).alias("rank"), "inner", "placed")
     )
     out = plain.unionByName(boxed)
     if positions is None:
-        pos = F.struct("rank", clock().alias("clock"), "hash", "inner")
+        pos = F.struct("rank", "placed", "hash", "inner")
     else:
         out = out.join(positions.select("hash", F.col("pos").alias("place")), "hash")
         pos = F.struct("rank", "place", "hash", "inner")
     # of equal clocks the earliest write counts
     write = F.struct(clock().alias("clock"), descending(F.col("hash")).alias("h"), (-F.col("inner")).alias("i"))
+    # what a checkpoint holds stands where the checkpoint does, in its order; writes keep their own clocks
     return out.withColumn("pos", pos).withColumn("clock", clock()).withColumn("write", write)
 
 
@@ -135,22 +137,21 @@ def materialize(oplog: DataFrame, ontology: Ontology | None = None, *, order: st
     good_edges = edge_adds.where("error is null").drop("error", "source_type", "target_type", "source_pos", "target_pos")
     edge_removes = ops.where("op = 'remove_edge'").withColumn("ready", F.col("pos"))
     edge_identity = _entity(good_edges.unionByName(edge_removes), "edge_id", "add_edge", "remove_edge", ["edge_type", "source_id", "target_id"], [], "ready")
-    # updates go to a node of that id, else to an edge, and only after it exists
-    updates = ops.where("op = 'update_property'")
-    of_node = identity.select(F.col("node_id").alias("entity_id"), F.col("node_type").alias("t"), F.col("first_pos").alias("node_pos"))
-    of_edge = edge_identity.select(F.col("edge_id").alias("entity_id"), F.col("edge_type").alias("et"), F.col("first_pos").alias("edge_pos"))
-    updates = updates.drop("node_type", "edge_type").join(of_node, "entity_id", "left").join(of_edge, "entity_id", "left")
-    exists = F.when(F.col("t").isNotNull(), F.col("node_pos") < F.col("pos")).otherwise(F.col("edge_pos") < F.col("pos"))
-    updates = updates.where(F.coalesce(exists, F.lit(False)))
+    # updates go to a node of that id, else to an edge, and only after it exists; nodes don't wait for edges
+    none = F.lit(None).cast("string")
+    updates = ops.where("op = 'update_property'").drop("node_type", "edge_type")
+    of_node = identity.select(F.col("node_id").alias("entity_id"), F.col("node_type").alias("t"), F.col("first_pos").alias("since"))
+    of_edge = edge_identity.select(F.col("edge_id").alias("entity_id"), F.col("edge_type").alias("t"), F.col("first_pos").alias("since"))
+    node_updates = updates.join(of_node, "entity_id").where("since < pos")
     if any(t["subtypes"] for t in schema.node_types.values()):
-        updates = _with_subtype(updates.drop("subtype"), good_adds, schema)
-    error = schema.update_error(F.col("t"), F.col("subtype"), F.col("et"), F.col("key"), F.col("value"), inherited_updates)
-    updates = updates.withColumn("error", error)
-    good_updates = updates.where("error is null")
-    nodes = _finish(identity, _properties(good_adds, good_updates.where("t is not null"), "node_id"), "node_id").select("node_id", "node_type", "subtype", "label", "properties", "property_clocks", "add_clock", "live")
-    edges = _finish(edge_identity, _properties(good_edges, good_updates.where("t is null"), "edge_id"), "edge_id").select("edge_id", "edge_type", "source_id", "target_id", "properties", "property_clocks", "add_clock", "live")
-    bad = [df.where("error is not null").select("hash", "op", F.col("error").alias("reason")) for df in (node_adds, edge_adds, updates)]
-    quarantine = bad[0].unionByName(bad[1]).unionByName(bad[2])
+        node_updates = _with_subtype(node_updates.drop("subtype"), good_adds, schema)
+    edge_updates = updates.join(of_node.select("entity_id"), "entity_id", "left_anti").join(of_edge, "entity_id").where("since < pos")
+    node_updates = node_updates.withColumn("error", schema.update_error(F.col("t"), F.col("subtype"), none, F.col("key"), F.col("value"), inherited_updates))
+    edge_updates = edge_updates.withColumn("error", schema.update_error(none, none, F.col("t"), F.col("key"), F.col("value"), inherited_updates))
+    nodes = _finish(identity, _properties(good_adds, node_updates.where("error is null"), "node_id"), "node_id").select("node_id", "node_type", "subtype", "label", "properties", "property_clocks", "add_clock", "live")
+    edges = _finish(edge_identity, _properties(good_edges, edge_updates.where("error is null"), "edge_id"), "edge_id").select("edge_id", "edge_type", "source_id", "target_id", "properties", "property_clocks", "add_clock", "live")
+    bad = [df.where("error is not null").select("hash", "op", F.col("error").alias("reason")) for df in (node_adds, edge_adds, node_updates, edge_updates)]
+    quarantine = reduce(DataFrame.unionByName, bad)
     if refused:
         quarantine = quarantine.unionByName(oplog.sparkSession.createDataFrame([(h, "extend_ontology", r) for h, r in refused.items()], "hash string, op string, reason string"))
     quarantine = quarantine.withColumn("ontology_hash", F.lit(digest))

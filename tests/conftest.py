@@ -11,9 +11,10 @@ def spark():
     from pyspark.sql import SparkSession
 
     session = (
-        SparkSession.builder.master("local[4]")
+        SparkSession.builder.master("local[3]")
         .config("spark.sql.shuffle.partitions", "3")
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.codegen.wholeStage", "false")  # small tables: compiling takes longer than running
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
         .getOrCreate()
