@@ -115,7 +115,7 @@ class OpLog:
             return pd.DataFrame({"hash": out, "pos": range(len(out))})
 
         narrow = self.df.select("hash", "next", "physical_ms", "logical")
-        return narrow.groupBy(F.lit(0)).applyInPandas(order, "hash string, pos long")
+        return narrow.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(order, "hash string, pos long")
 
     # -- growth -------------------------------------------------------------
 
