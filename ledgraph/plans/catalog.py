@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import prop
@@ -140,12 +140,13 @@ def out_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- fluent queries and views -----------------------------------------------
 
-_RICH = prop("acctbal", "float") > 9500
+def _rich() -> Column:
+    return prop("acctbal", "float") > 9500
 
 
 @query("SELECT DISTINCT 'r:' || r_regionkey AS node_id, r_name AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE s_acctbal > 9500")
 def follow_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Query(star_graph(spark, sf_dir)).nodes("supplier").where_fn(_RICH).follow("IN_NATION").follow("IN_REGION").to_df().select("node_id", "label")
+    return Query(star_graph(spark, sf_dir)).nodes("supplier").where_fn(_rich()).follow("IN_NATION").follow("IN_REGION").to_df().select("node_id", "label")
 
 
 @query("SELECT 'c:' || c_custkey AS node_id FROM customer WHERE c_mktsegment = 'BUILDING'")
@@ -166,7 +167,7 @@ def query_follow_out(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT 'o:' || o_orderkey AS node_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_acctbal > 9500")
 def query_follow_in(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Query(star_graph(spark, sf_dir)).nodes("customer").where_fn(_RICH).follow("PLACED_BY", direction="in").to_df().select("node_id")
+    return Query(star_graph(spark, sf_dir)).nodes("customer").where_fn(_rich()).follow("PLACED_BY", direction="in").to_df().select("node_id")
 
 
 @query(f"WITH {EDGES}, s AS (SELECT 'n:' || n_nationkey AS id FROM nation WHERE n_nationkey < 3) SELECT target_id AS node_id FROM edges WHERE source_id IN (SELECT id FROM s) UNION SELECT source_id FROM edges WHERE target_id IN (SELECT id FROM s)")
@@ -196,7 +197,7 @@ def view_edges_both_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT 's:' || s_suppkey AS node_id FROM supplier WHERE s_acctbal > 9500 UNION ALL SELECT 'c:' || c_custkey FROM customer WHERE c_acctbal > 9500")
 def view_by_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return star_graph(spark, sf_dir).view(predicate=_RICH).all_nodes().select("node_id")
+    return star_graph(spark, sf_dir).view(predicate=_rich()).all_nodes().select("node_id")
 
 
 @query("SELECT n_name AS label, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
