@@ -148,6 +148,43 @@ def test_line_dedup(docs, empty):
     assert line_dedup.dedup_lines(empty).count() == 0
 
 
+def test_line_dedup_meets_every_repeated_run(docs, empty, spark):
+    rng = np.random.default_rng(5)
+    passages = [[f"passage {k} line {j}" for j in range(k)] for k in range(2, 12)]
+    rows = list(DOCS)
+    for i in range(60):
+        lines = [f"own {i} {j}" for j in range(4)]
+        for p in rng.integers(0, len(passages), 2):
+            at = int(rng.integers(0, 5))
+            lines[at:at] = passages[p]
+        rows.append((100 + i, "\n".join(lines)))
+    rows += [(900, "x\nx\nx"), (901, ""), (902, "\n\n\n"), (903, "\n\n\n"), (904, "é\n\nend\n"), (905, "é\n\nend\n"), (906, "own 3 1"), (907, "z\nown 3 1\ny")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    order = {r: k for k, r in enumerate(sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)))}
+    mark = {(r["doc_id"], r["text"]): r["m"] for r in frame.selectExpr("doc_id", "text", "xxhash64(text) m").collect()}
+    order = {r: (r[0] is not None, r[0] or 0, mark[r]) for r in order}
+    split = {r: r[1].split("\n") if r[1] else [] for r in order}
+    # brute force: of every run of two lines or more, the earliest place
+    first = {}
+    for r in order:
+        for a in range(len(split[r])):
+            for b in range(a + 2, len(split[r]) + 1):
+                run = tuple(split[r][a:b])
+                if WORD.search("\n".join(run).replace("\n", " ")):
+                    first[run] = min(first.get(run, (order[r], a)), (order[r], a))
+    want = Counter()
+    for r in rows:
+        gone = {k for a in range(len(split[r])) for b in range(a + 2, len(split[r]) + 1) if first.get(tuple(split[r][a:b]), (order[r], a)) != (order[r], a) for k in range(a, b)}
+        want[(r[0], r[1] and "\n".join(x for k, x in enumerate(split[r]) if k not in gone))] += 1
+    assert counted(line_dedup.dedup_runs(frame).collect()) == want
+    assert (900, "x") in want and (905, "") in want and (907, "z\nown 3 1\ny") in want
+    out = line_dedup.dedup_runs(docs)
+    assert out.columns == docs.columns and line_dedup.dedup_runs(empty).count() == 0
+    # the query's figures follow: the copy of a passage is gone whole
+    short = spark.createDataFrame([(1, "a\nshared one\nshared two\nb"), (2, "c\nshared one\nshared two\nd")], "doc_id long, text string")
+    assert {(r["doc_id"], r["n_kept_chars"]) for r in line_dedup.summary(short).collect()} == {(1, 25), (2, 3)}
+
+
 def test_lm_score(docs, empty):
     got = lm_score.lm_scores(docs).collect()
     count, tokens = Counter(), []
