@@ -1,20 +1,25 @@
-"""Passages that repeat across documents, by a sparse suffix array.
+"""Passages of ``MIN_WORDS`` words or more that repeat across documents.
 
-Of all suffixes (by words, in lower case) only those at minimiser positions are
-kept: the smallest hash of ``SEED`` words in each window of ``SPAN`` such hashes.
-A passage of ``SPAN + SEED - 1`` words holds one at the same place wherever it
-stands, so each repeat of ``MIN_WORDS`` words is met.
+Every window of ``MIN_WORDS`` words is owned by its smallest hash of ``SEED``
+words (the leftmost of equals).  Owner and offset follow from the window's words
+alone, so equal windows meet under one owner, and the windows of one owner are a
+run.  One row an owner is grouped by the owner's hash and then by the hash of
+all words of its run:
 
-The suffixes are sorted over the cluster, blockwise by the hashes of the next
-words and then of the words before; neighbours that share the seed are compared,
-and the match is extended to the left and to the right over the words
-themselves.  A passage in a third of all documents costs one comparison a
-document: pairs are those of neighbours only.  Of two documents all seeds on one
-diagonal are one pair.
+* documents with the same run share all its windows: the first of them stands
+  for them all;
+* where one owner has several runs, the first document of each gives out the
+  run's windows one by one, and these are grouped;
+* each run gets back which of its windows another document has, and the first
+  document of these; each document gets that from its runs.
 
-A repeat is reported for both documents.  It is a copy where the other one comes
-first (smaller id, then text hash); the first place of all has no one before it,
-so something is always kept.
+So no document is compared with chosen others, and nothing depends on how many
+share a passage.  Windows are equal if two 64-bit hashes (of the owner and of
+the whole) are.  A passage's extent is a maximal row of repeated windows.
+
+A document is a copy if an earlier one (smaller id, then text hash) has one of
+its windows; the first place of all has no one before it, so something is always
+kept.  Its class is the connected component of documents that share windows.
 
 Edge cases.  Null and empty texts have no words.  Rows alike in id and text are
 one document; repeats inside one document don't count.  An empty table gives an
@@ -31,15 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .adjacency import adjacent
 from .common import written
+from .components import components
 
 MIN_WORDS = 50
 SEED = 10
 SPAN = 32
-BLOCKS = (10, 20)
-"""Words after the seed that the order looks at, in blocks."""
-
 _FAR = np.uint64((1 << 64) - 1)
 
 
@@ -68,110 +70,142 @@ def minimisers(w: bw.Words, seed: int = SEED, span: int = SPAN) -> tuple[np.ndar
     return chosen, h[chosen]
 
 
-def _block(w: bw.Words, at: np.ndarray, size: int) -> np.ndarray:
-    """Hash of up to ``size`` words from each place on, not beyond the text."""
-    stop = w.first[1:][w.doc[np.clip(at, 0, max(len(w.doc) - 1, 0))]] if len(at) else at
-    whole = bw.window_hash(w.hash, size)
-    out = np.zeros(len(at), np.uint64)
-    fits = at + size <= stop
-    out[fits] = whole[at[fits]]
-    return out
+def owners(w: bw.Words, seed: int = SEED, min_words: int = MIN_WORDS) -> tuple[np.ndarray, ...]:
+    """(first window, windows, owner's hash, hash of the run's words) of each run of windows with one owner; windows by their first word."""
+    n = len(w.hash) - min_words + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    h = bw.window_hash(w.hash, seed)
+    span = min_words - seed + 1
+    low, at, width = h, np.arange(len(h)), 1
+    while width < span:
+        step = min(width, span - width)
+        right = low[step:] < low[: len(low) - step]
+        at = np.where(right, at[step:], at[: len(at) - step])
+        low = h[at]
+        width += step
+    start = np.flatnonzero(w.doc[:n] == w.doc[min_words - 1 :])
+    own = at[start]
+    # owners never go back within a text, so equal ones are a run
+    head = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(start) else np.zeros(0, np.int64)
+    count = np.diff(np.concatenate([head, [len(start)]]))
+    first, own = start[head], own[head]
+    run = bw.mix(_hash(w, first, first + count - 1 + min_words) ^ bw.mix((own - first).astype(np.uint64) * np.uint64(64) + count.astype(np.uint64)))
+    return first, count, h[own], run
+
+
+def _hash(w: bw.Words, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words from start to end."""
+    power, inverse = bw._power_tables(len(w.hash) + 1)
+    sums = np.zeros(len(w.hash) + 1, np.uint64)
+    np.cumsum(w.hash * power[:-1], out=sums[1:])
+    return bw.mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
 
 
-def suffixes(docs: DataFrame, *, seed: int = SEED, span: int = SPAN) -> DataFrame:
-    """(id, mark, f0, f1, f2, before, place) of each kept suffix."""
-    kind = docs.schema["id"].dataType.simpleString()
+def _runs(rows: DataFrame, kind: str, seed: int, min_words: int) -> DataFrame:
+    """(id, mark, place, n, f0, run) of each run of windows; place is its first word's number in the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in bw.batches_of(batches, "text"):
-            data, offsets = bw.text_buffer(part.column(1))
-            w = bw.words(data, offsets, bw.NOT_SPACE)
-            at, h = minimisers(w, seed, span)
-            doc = w.doc[at] if len(at) else np.zeros(0, np.int64)
-            ahead, blocks = at + seed, []
-            for size in BLOCKS:
-                # a suffix that ends sooner sorts as zero
-                start = np.minimum(ahead, w.first[1:][doc] - 1) if len(at) else ahead
-                blocks.append(np.where(ahead + size <= w.first[1:][doc], _block(w, start, size), 0).astype(np.uint64) if len(at) else np.zeros(0, np.uint64))
-                ahead = ahead + size
-            before = np.where(at - seed >= w.first[:-1][doc], bw.window_hash(w.hash, seed)[np.maximum(at - seed, 0)], 0).astype(np.uint64) if len(at) else np.zeros(0, np.uint64)
-            rows = pa.array(doc)
+            w = bw.words(*bw.text_buffer(part.column(1)), bw.NOT_SPACE)
+            first, count, f0, whole = owners(w, seed, min_words)
+            doc = w.doc[first] if len(first) else first
+            at = pa.array(doc)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).take(rows), part.column(2).take(rows), *(pa.array(x.view(np.int64)) for x in (h, *blocks, before)), pa.array((at - w.first[:-1][doc]) if len(at) else at, pa.int32())],
-                names=["id", "mark", "f0", "f1", "f2", "before", "place"],
+                [part.column(0).take(at), part.column(2).take(at), pa.array(first - w.first[doc], pa.int32()), pa.array(count, pa.int32()), pa.array(f0.view(np.int64)), pa.array(whole.view(np.int64))],
+                names=["id", "mark", "place", "n", "f0", "run"],
             )
 
-    return docs.select("id", "text", "mark").mapInArrow(run, f"id {kind}, mark long, f0 long, f1 long, f2 long, before long, place int")
+    return rows.mapInArrow(run, f"id {kind}, mark long, place int, n int, f0 long, run long")
+
 
+def _windows(texts: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """(id, mark, f0, run, k, w, many): the windows of the runs in ``runs``, one by one; repeated texts repeat theirs."""
 
-def _extended(both: DataFrame, kind: str, min_words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            col = {n: i for i, n in enumerate(whole.schema.names)}
-            sizes = [np.diff(bw.text_buffer(whole.column(col[c]))[1]) for c in ("a_text", "b_text")]
-            for lo, hi in bw.shards(sizes[0] + sizes[1]):
-                part = whole.slice(lo, hi - lo)
-                sides = []
-                for c in ("a_text", "b_text"):
-                    data, offsets = bw.text_buffer(part.column(col[c]))
-                    sides.append((bw.words(data, offsets, bw.NOT_SPACE), bw.code_points(data), offsets))
-                found: list[tuple[int, ...]] = []
-                pa_, pb_ = (part.column(col[c]).to_pylist() for c in ("a_place", "b_place"))
-                wa, wb = sides[0][0], sides[1][0]
-                for i in range(part.num_rows):
-                    x, y = wa.hash[wa.first[i] : wa.first[i + 1]], wb.hash[wb.first[i] : wb.first[i + 1]]
-                    # all matches on the pair's diagonal
-                    shift = pb_[i] - pa_[i]
-                    s, e = max(0, -shift), min(len(x), len(y) - shift)
-                    same = np.zeros(e - s + 2, np.int8)
-                    same[1:-1] = x[s:e] == y[s + shift : e + shift]
-                    turn = np.diff(same)
-                    start, stop = np.flatnonzero(turn == 1) + s, np.flatnonzero(turn == -1) + s
-                    for a, b in zip(start.tolist(), stop.tolist(), strict=True):
-                        if b - a >= min_words:
-                            found.append((i, a, b, a + shift, b + shift))
-                got = np.array(found, np.int64).reshape(-1, 5)
-                at = pa.array(got[:, 0])
-                ids = [part.column(col[c]).take(at) for c in ("a_id", "a_mark", "b_id", "b_mark")]
-                spans = []
-                for (w, chars, offsets), (lo_, hi_) in zip(sides, ((1, 2), (3, 4)), strict=True):
-                    base, zero = w.first[:-1][got[:, 0]], chars[offsets[:-1][got[:, 0]]]
-                    spans.append((chars[w.start[base + got[:, lo_]]] - zero, chars[w.end[base + got[:, hi_] - 1]] - zero) if len(got) else (got[:, 0], got[:, 0]))
-                for mine, other, (lo_, hi_), (s, e) in ((ids[:2], ids[2:], (1, 2), spans[0]), (ids[2:], ids[:2], (3, 4), spans[1])):
-                    yield pa.RecordBatch.from_arrays([*mine, *other, *(pa.array(v, pa.int64()) for v in (got[:, lo_], got[:, hi_], s, e))], names=["id", "mark", "other", "other_mark", "first_word", "end_word", "start", "end"])
-
-    return both.mapInArrow(run, f"id {kind}, mark long, other {kind}, other_mark long, first_word long, end_word long, start long, end long")
-
-
-def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed: int = SEED, span: int = SPAN) -> DataFrame:
-    """(id, mark, other, other_mark, first_word, end_word, start, end): passages of at least ``min_words`` words that another document has, too; offsets in words and in code points."""
-    if seed + span - 1 > min_words:
-        raise ValueError("a passage of min_words words would not hold a whole window")
+        for part in bw.batches_of(batches, "text", 1 << 20):
+            w = bw.words(*bw.text_buffer(part.column(1)), bw.NOT_SPACE)
+            lists = part.column(3)
+            doc = np.repeat(np.arange(part.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            flat = lists.flatten()
+            place, n, f0, whole, many = (flat.field(i) for i in range(5))
+            count = n.to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(len(count)), count)
+            k = bw.ragged(np.zeros(len(count), np.int64), count)
+            start = w.first[doc[row]] + place.to_numpy()[row] + k
+            at, of = pa.array(doc[row]), pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0).take(at), part.column(2).take(at), f0.take(of), whole.take(of), pa.array(k, pa.int32()), pa.array(_hash(w, start, start + min_words).view(np.int64)), many.take(of)],
+                names=["id", "mark", "f0", "run", "k", "w", "many"],
+            )
+
+    return texts.mapInArrow(run, f"id {kind}, mark long, f0 long, run long, k int, w long, many boolean")
+
+
+def _passages(texts: DataFrame, kind: str, min_words: int) -> DataFrame:
+    """Each document's rows of repeated windows as passages, in words and code points."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in bw.batches_of(batches, "text"):
+            data, offsets = bw.text_buffer(part.column(1))
+            w, chars = bw.words(data, offsets, bw.NOT_SPACE), bw.code_points(data)
+            docs, first, end = [], [], []
+            for d, runs in enumerate(part.column(3).to_pylist()):
+                at = np.unique(np.array([r["place"] + k for r in runs for k in range(r["mask"].bit_length()) if r["mask"] >> k & 1], np.int64))
+                cut = np.flatnonzero(np.diff(at) > 1)
+                docs += [d] * (len(cut) + 1)
+                first += at[np.concatenate([[0], cut + 1])].tolist()
+                end += (at[np.concatenate([cut, [len(at) - 1]])] + min_words).tolist()
+            doc, first, end = (np.array(x, np.int64) for x in (docs, first, end))
+            base, zero, at = w.first[doc], chars[offsets[doc]], pa.array(doc)
+            spans = [first, end, chars[w.start[base + first]] - zero, chars[w.end[base + end - 1]] - zero]
+            yield pa.RecordBatch.from_arrays([*(part.column(i).take(at) for i in (0, 2, 4, 5)), *(pa.array(x, pa.int64()) for x in spans)], names=["id", "mark", "copy", "class_id", "first_word", "end_word", "start", "end"])
+
+    return texts.mapInArrow(run, f"id {kind}, mark long, copy boolean, class_id {kind}, first_word long, end_word long, start long, end long")
+
+
+def _with_text(rows: DataFrame, facts: DataFrame) -> DataFrame:
+    """The rows of the documents in ``facts``, as (id, text, mark) and what else the facts hold; repeated rows stay."""
+    theirs = facts.withColumnRenamed("id", "i").withColumnRenamed("mark", "m")
+    own = rows.join(theirs, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
+    return own.select("id", "text", "mark", *(c for c in facts.columns if c not in ("id", "mark")))
+
+
+def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, seed: int = SEED) -> DataFrame:
+    """(id, mark, copy, class_id, first_word, end_word, start, end): passages of at least ``min_words`` words that another document has, too; offsets in words and in code points.
+
+    ``copy`` and ``class_id`` (the smallest id that shared passages lead to) are the document's.
+    """
+    if not 0 <= min_words - seed < 63:
+        raise ValueError("a run's windows would not fit a mask")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    order = ["f0", "f1", "f2", "before", "id", "mark", "place"]
-    found = adjacent(suffixes(rows, seed=seed, span=span), order, ["f0"], ["id", "mark", "place"], "suffixes")
-    other = ~(F.col("a_id").eqNullSafe(F.col("b_id")) & (F.col("a_mark") == F.col("b_mark")))
-    pairs = written(
-        found.where(other)
-        .groupBy("a_id", "a_mark", "b_id", "b_mark", (F.col("b_place") - F.col("a_place")).alias("shift"))
-        .agg(F.min("a_place").alias("a_place"))
-        .withColumn("b_place", F.col("a_place") + F.col("shift"))
-        .drop("shift"),
-        "pairs",
-    )
-    wanted = pairs.select(F.explode(F.array(F.struct(F.col("a_id").alias("i"), F.col("a_mark").alias("m")), F.struct(F.col("b_id").alias("i"), F.col("b_mark").alias("m")))).alias("w")).select("w.*").distinct()
-    own = rows.join(wanted, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left_semi").dropDuplicates(["id", "mark"])
-    own = written(own, "texts")
-    both = pairs
-    for side in "ab":
-        theirs = own.select(F.col("id").alias(f"{side}_i"), F.col("mark").alias(f"{side}_m"), F.col("text").alias(f"{side}_text"))
-        both = both.join(theirs, F.col(f"{side}_id").eqNullSafe(F.col(f"{side}_i")) & (F.col(f"{side}_mark") == F.col(f"{side}_m"))).drop(f"{side}_i", f"{side}_m")
-    return _extended(both, kind, min_words)
+    doc = F.struct("id", "mark")
+    runs = _runs(rows, kind, seed, min_words)
+    grouped = runs.groupBy("f0", "run").agg(F.min(F.struct("id", "mark", "place")).alias("r"), F.max(doc).alias("last"), F.first("n").alias("n"))
+    grouped = written(grouped.select("f0", "run", F.struct("r.id", "r.mark").alias("first"), "last", "r.place", "n"), "runs")
+    owned = grouped.groupBy("f0").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")).where("low != high").select("f0", "kinds")
+    shared = written(grouped.join(owned, "f0"), "shared").withColumn("many", F.expr("first != last"))
+    one = shared.where("kinds = 1").select("f0", "run", F.expr("shiftleft(1L, n) - 1").alias("mask"), "first")
+    wanted = shared.where("kinds > 1").groupBy("first").agg(F.collect_list(F.struct("place", "n", "f0", "run", "many")).alias("runs")).select("first.id", "first.mark", "runs")
+    windows = written(_windows(_with_text(rows, wanted), kind, min_words), "windows")
+    met = windows.groupBy("f0", "w").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.max("many").alias("many")).where("many or first != last").select("f0", "w", "first")
+    back = written(windows.join(met, ["f0", "w"]).groupBy("f0", "run", doc.alias("holder"), "first").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")), "back")
+    several = back.groupBy("f0", "run").agg(F.expr("bit_or(mask)").alias("mask"), F.min("first").alias("first"))
+    found = runs.join(one.unionByName(several), ["f0", "run"]).select("id", "mark", "place", "mask", "first")
+    per_doc = written(found.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "mask")).alias("at"), F.min("first").alias("first"), F.collect_set(F.xxhash64("first.id", "first.mark")).alias("firsts")), "found")
+    # a run's documents are linked with its first window's document, and that run's first with the other windows' first
+    key = F.xxhash64("id", "mark")
+    links = per_doc.select(key.alias("a"), F.explode("firsts").alias("b")).unionByName(back.select(F.xxhash64("holder.id", "holder.mark").alias("a"), F.xxhash64("first.id", "first.mark").alias("b")))
+    labels = components(links.where("a != b").distinct()).distinct()
+    named = per_doc.select(key.alias("node"), "id").join(labels, "node")
+    classes = named.groupBy("label").agg(F.min(F.struct("id")).alias("least"))  # a null id is smallest, as in the order of documents
+    facts = per_doc.withColumn("node", key).join(labels, "node").join(classes, "label").select("id", "mark", "at", F.expr("first < struct(id, mark)").alias("copy"), F.col("least.id").alias("class_id"))
+    return _passages(_with_text(rows, facts), kind, min_words).distinct()
 
 
 def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Per document with repeats: n_repeats, n_words in them, spans, partner ids (neighbours in the order) and whether some repeat is a copy."""
+    """Per document with repeats: n_repeats, n_words in them, spans, the class of documents it shares passages with and whether some repeat is a copy."""
     spans = F.array_sort(F.collect_set(F.struct("first_word", "end_word", "start", "end")))
     covered = F.aggregate(
         "all_spans",
@@ -180,7 +214,6 @@ def summary(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
             (a["n"] + F.greatest(F.lit(0).cast("long"), x["end_word"] - F.greatest(x["first_word"], a["to"]))).alias("n"), F.greatest(a["to"], x["end_word"]).alias("to")
         ),
     )["n"]
-    earlier = F.struct("other", "other_mark") < F.struct("id", "mark")
-    grouped = found.groupBy("id", "mark").agg(spans.alias("all_spans"), F.array_sort(F.collect_set("other")).alias("partners"), F.max(earlier).alias("copy"))
+    grouped = found.groupBy("id", "mark").agg(spans.alias("all_spans"), F.min("class_id").alias("class_id"), F.max("copy").alias("copy"))
     written_spans = F.array_join(F.array_distinct(F.transform("all_spans", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string")))), ",")
-    return grouped.select(F.col("id").alias(id_col), F.size("all_spans").cast("long").alias("n_repeats"), covered.alias("n_words"), written_spans.alias("spans"), "partners", "copy")
+    return grouped.select(F.col("id").alias(id_col), F.size("all_spans").cast("long").alias("n_repeats"), covered.alias("n_words"), written_spans.alias("spans"), "class_id", "copy")

@@ -311,6 +311,48 @@ def test_suffix_dedup(docs, empty):
     assert suffix_dedup.repeats(empty).count() == 0
 
 
+def test_suffix_dedup_meets_every_repeated_window(spark):
+    rng = np.random.default_rng(8)
+    passages = [[f"p{k}w{j}" for j in range(n)] for k, n in enumerate((49, 50, 55, 60, 120))]
+    rows = []
+    for i in range(90):  # each passage in many contexts, and one of 49 words
+        mine = [f"o{i}x{j}" for j in range(30)]
+        for k in rng.integers(0, 5, 1 + i % 2):
+            at = int(rng.integers(0, len(mine)))
+            mine[at:at] = passages[k][int(rng.integers(0, 2)) * int(rng.integers(0, 8)) :]
+        rows.append((i * 7919 % 997, " ".join(mine)))
+    rows += [(2000, "é " * 70), (2001, "É  " * 60), (None, " ".join(passages[2])), (2003, " ".join(passages[3][:50]))]
+    words = {r: WORD.findall(r[1].replace("É", "É").lower() if r[1].isascii() else r[1]) for r in rows}
+    order = {r: (r[0] is not None, r[0] or 0) for r in rows}
+    holders = {}
+    for r, w in words.items():
+        for a in range(len(w) - 49):
+            holders.setdefault(tuple(w[a : a + 50]), set()).add(r)
+    root = {r: r for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for group in holders.values():
+        for x in group:
+            a, b = sorted((find(x), find(next(iter(group)))), key=order.get)
+            root[b] = a
+    want = {}
+    for r, w in words.items():
+        at = [a for a in range(len(w) - 49) if len(holders[tuple(w[a : a + 50])]) > 1]
+        if at:
+            heads = [a for a in at if a - 1 not in at]
+            covered = {x for a in at for x in range(a, a + 50)}
+            copy = any(order[o] < order[r] for a in at for o in holders[tuple(w[a : a + 50])])
+            want[r[0]] = (len(heads), len(covered), find(r)[0], copy)
+    found = suffix_dedup.summary(suffix_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))).collect()
+    assert {r["doc_id"]: (r["n_repeats"], r["n_words"], r["class_id"], r["copy"]) for r in found} == want
+    text = {r[0]: r[1] for r in rows}
+    assert all(text[r["doc_id"]][int(a) : int(b)].split() and len(text[r["doc_id"]][int(a) : int(b)].split()) >= 50 for r in found for a, b in [x.split(":") for x in r["spans"].split(",")])
+
+
 def test_minimisers_meet_in_every_shared_passage():
     rng = np.random.default_rng(2)
     shared = " ".join(f"s{i}" for i in rng.integers(0, 10**6, 50))
