@@ -13,7 +13,10 @@ that fit a url the longest decides.  Urls without a rule are judged by host:
 Edges join different hosts; their weight is the number of links.  Rank that
 reaches a host without edges goes back to the seeds.  Each round's ranks are
 written to the shared folder, so a lost executor costs one round at most; the
-rounds end when the ranks move by less than ``tolerance`` in all.
+rounds end when the ranks move by less than ``tolerance`` in all and no host is
+new.  A round moves at most ``damping`` of what the one before moved, and a host
+is first reached over a shortest path, so the rounds end; with ``rounds`` given
+they stop there.
 
 Edge cases.  A null url, or one without ``://``, has an empty host and path, fits
 no rule and is allowed.  Without seeds all scores are zero.  Repeated rows are
@@ -36,10 +39,9 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 20
 TOLERANCE = 1e-4
 THRESHOLD = 1.0
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?([a-z][a-z0-9+.-]*://[^"'\s>]+)"""
+LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -79,12 +81,13 @@ def judged_by_rule(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
 def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, weight): links between different hosts."""
     links = F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(LINK), F.lit(1))
-    targets = F.transform(links, host_of)
+    # a link without a scheme takes the page's
+    targets = F.transform(links, lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x)))
     pairs = pages.select(host_of(F.col(url_col).cast("string")).alias("src"), F.explode(targets).alias("dst"))
     return pairs.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> DataFrame:
+def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, score): personalised PageRank; ``seeds`` is (host, mass) with masses that add up to one."""
     leaving = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     flow = edges.join(leaving, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("share"))
@@ -94,15 +97,17 @@ def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, ro
     flow = written(flow, "links")
     ranks = seeds = written(ranks, "rank").select("host", "score", F.col("score").alias("mass"))
     senders = flow.select(F.col("src").alias("host")).distinct().withColumn("sends", F.lit(True))
-    for _ in range(rounds):
+    hosts, done = ranks.count(), 0
+    while rounds is None or done < rounds:
+        done += 1
         total, kept = ranks.join(senders, "host", "left").agg(F.sum("score"), F.sum(F.when(F.col("sends"), F.col("score")))).first()
         total, kept = total or 0.0, kept or 0.0
         sent = ranks.join(flow, ranks["host"] == flow["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("part"))
         back = seeds.select("host", (F.col("mass") * (1 - damping + damping * (total - kept))).alias("part"))
         after = written(sent.unionByName(back).groupBy("host").agg(F.sum("part").alias("score")), "rank")
-        moved = after.join(ranks.select("host", F.col("score").alias("was")), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
-        ranks = after
-        if (moved or 0.0) < tolerance:
+        moved = after.join(ranks.select("host", F.col("score").alias("was")), "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0)))), F.count("score")).first()
+        ranks, before, hosts = after, hosts, moved[1]
+        if (moved[0] or 0.0) < tolerance and hosts == before:
             break
     return ranks
 

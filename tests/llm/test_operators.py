@@ -114,6 +114,17 @@ def test_pagerank_against_a_dense_solution(spark):
     assert all(abs(got[h] - x) < 1e-3 for h, x in zip("abcd", r, strict=True))
 
 
+def test_pagerank_reaches_the_end_of_a_long_chain(spark):
+    n = 22
+    pages = [(f"http://h{i}.net/", f'<a href="//h{i + 1}.net/x">') for i in range(n)]
+    edges = url_filter.host_edges(spark.createDataFrame(pages, "url string, html string")).localCheckpoint()
+    assert {(r["src"], r["dst"]) for r in edges.collect()} == {(f"h{i}.net", f"h{i + 1}.net") for i in range(n)}
+    seeds = spark.createDataFrame([("h0.net", 1.0)], "host string, mass double")
+    # a wide tolerance: only the hosts still to be reached keep the rounds going
+    got = {r["host"]: r["score"] for r in url_filter.pagerank(edges, seeds, tolerance=1.0).collect()}
+    assert len(got) == n + 1 and min(got.values()) > 0
+
+
 def chunks(text, roll=line_dedup.ROLL, modulus=line_dedup.MODULUS):
     lines = (text or "").encode().split(b"\n") if text else []
 
