@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .decontamination import WINDOW
 from .secrets import BASE_RULES, RULES
+from . import url_filter as url
 from .url_filter import LOWER, UPPER
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -54,4 +55,39 @@ _DECONTAMINATION = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {_
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN n USING (rid) LEFT JOIN items USING (rid)"""
 
-ORACLES = {"op1_secrets": _secrets(), "op3_quality": _QUALITY, "op10_decontamination": _DECONTAMINATION}
+
+
+def _host(column: str) -> str:
+    return f"translate(regexp_extract({column}, '(?s)^.*?://([^/?#]*)', 1), '{UPPER}', '{LOWER}')"
+
+
+def _target(column: str, base: str) -> str:
+    link = column
+    for pattern, sign in url.REFERENCES:
+        link = f"regexp_replace({link}, {_quoted(pattern)}, '{sign}', 'g')"
+    return f"(SELECT CASE WHEN regexp_matches(l, {_quoted(url.SCHEME + '//')}) THEN {_host('l')} WHEN regexp_matches(l, {_quoted(url.SCHEME)}) THEN '' ELSE {base} END FROM (SELECT CASE WHEN {link} LIKE '//%' THEN 'http:' || {link} ELSE {link} END AS l))"
+
+
+def _url_filter() -> str:
+    """Ranks as sums over walks from the seeds: giving the rank of hosts without edges back to the seeds scales all of them alike."""
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url.RULES)
+
+    def rank(name: str, verdict: str, near: str, far: str) -> str:
+        return f"""{name}_seed AS (SELECT host, count(*) / sum(count(*)) OVER () AS mass FROM j WHERE verdict = '{verdict}' GROUP BY host),
+ {name}_flow AS (SELECT {near} AS a, {far} AS b, n / sum(n) OVER (PARTITION BY {near}) AS share FROM e),
+ {name}_walk AS (SELECT 0 AS k, host, mass AS m FROM {name}_seed UNION ALL SELECT k + 1, b, sum(m * share) * {url.DAMPING} FROM {name}_walk JOIN {name}_flow ON a = host WHERE k < 200 GROUP BY k, b),
+ {name} AS (SELECT host, sum(m) / (SELECT sum(m) FROM {name}_walk) AS score FROM {name}_walk GROUP BY host)"""
+
+    return f"""WITH RECURSIVE p AS (SELECT row_number() OVER () AS rid, page_id, {_host("coalesce(url, '')")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, coalesce(html, '') AS html FROM pages),
+ r AS (SELECT * FROM (VALUES {rules}) t(v, h, pre)),
+ j AS (SELECT rid, page_id, host, path, html, max_by(h || pre, length(h || pre)) AS rule, max_by(v, length(h || pre)) AS verdict FROM p LEFT JOIN r ON (host = h OR suffix(host, '.' || h)) AND starts_with(path, pre) GROUP BY ALL),
+ based AS (SELECT host, html, {_target(f"regexp_extract(html, {_quoted(url.BASE)}, 1)", "''")} AS base FROM j),
+ links AS (SELECT host, base, unnest(regexp_extract_all(html, {_quoted(url.LINK)}, 1)) AS link FROM based),
+ e AS (SELECT host AS src, dst, count(*) AS n FROM (SELECT host, {_target("link", "base")} AS dst FROM links) WHERE host != '' AND dst != '' AND dst != host GROUP BY host, dst),
+ {rank("trust", "allow", "src", "dst")},
+ {rank("distrust", "block", "dst", "src")}
+SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d.score, 0) > 0 AND coalesce(d.score, 0) >= {url.THRESHOLD} * coalesce(t.score, 0) THEN 'block' ELSE 'allow' END) AS verdict
+FROM j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host"""
+
+
+ORACLES = {"op1_secrets": _secrets(), "op3_quality": _QUALITY, "op4_url_filter": _url_filter(), "op10_decontamination": _DECONTAMINATION}

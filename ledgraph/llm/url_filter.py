@@ -10,7 +10,9 @@ that fit a url the longest decides.  Urls without a rule are judged by host:
 * a host is blocked if its distrust is at least ``threshold`` times its trust
   and not zero; hosts that neither reaches are allowed.
 
-Edges join different hosts; their weight is the number of links.  Rank that
+Edges join different hosts; their weight is the number of links.  A link without
+a scheme takes the page's, a relative one the host of the page's base (its own,
+if it names none), so it makes an edge only where the base is on another host.  Rank that
 reaches a host without edges goes back to the seeds.  Each round's ranks are
 written to the shared folder, so a lost executor costs one round at most; the
 rounds end when the ranks move by less than ``tolerance`` in all and no host is
@@ -19,8 +21,10 @@ is first reached over a shortest path, so the rounds end; with ``rounds`` given
 they stop there.
 
 Edge cases.  A null url, or one without ``://``, has an empty host and path, fits
-no rule and is allowed.  Without seeds all scores are zero.  Repeated rows are
-judged alike and each keeps its row; other columns are not read.
+no rule and is allowed; null pages have no links.  Without seeds all scores are
+zero.  Of rules of equal length the later one wins.  Repeated rows are judged
+alike and each keeps its row, and their links count as often; an empty table
+gives an empty result.  Pages are read to their end; other columns are not read.
 """
 
 from __future__ import annotations
@@ -41,7 +45,11 @@ RULES = (
 DAMPING = 0.85
 TOLERANCE = 1e-4
 THRESHOLD = 1.0
-LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^"'\s>]+)"""
+LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
+BASE = r"""(?i)<base\s(?:[^>]*?\s)?href\s*=\s*["']?([^"'\s>]+)"""
+# Character references of what ends a scheme or a host, and what they stand for.
+REFERENCES = ((r"(?i)&(?:#0*47|#x0*2f|sol);?", "/"), (r"(?i)&(?:#0*58|#x0*3a|colon);?", ":"), (r"(?i)&(?:#0*63|#x0*3f|quest);?", "?"), (r"(?i)&(?:#0*35|#x0*23|num);?", "#"), (r"(?i)&(?:#0*46|#x0*2e|period);?", "."))
+SCHEME = r"(?i)^[a-z][a-z0-9+.-]*:"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -78,13 +86,24 @@ def judged_by_rule(pages: DataFrame, *, id_col: str = "page_id", url_col: str =
     return parts.select("id", "host", "path", name.alias("rule"), verdict.alias("verdict"))
 
 
+def _plain(link: Column) -> Column:
+    for pattern, sign in REFERENCES:
+        link = F.regexp_replace(link, pattern, sign)
+    return link
+
+
+def target_of(link: Column, base: Column) -> Column:
+    """Host that a link leads to; empty for the page's own host and for links without a host."""
+    full = F.when(link.startswith("//"), F.concat(F.lit("http:"), link)).otherwise(link)
+    return F.when(full.rlike(SCHEME), F.when(full.rlike(SCHEME + "//"), host_of(full)).otherwise("")).otherwise(base)
+
+
 def host_edges(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, weight): links between different hosts."""
-    links = F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(LINK), F.lit(1))
-    # a link without a scheme takes the page's
-    targets = F.transform(links, lambda x: host_of(F.when(x.startswith("//"), F.concat(F.lit("http:"), x)).otherwise(x)))
-    pairs = pages.select(host_of(F.col(url_col).cast("string")).alias("src"), F.explode(targets).alias("dst"))
-    return pairs.where("src != '' and dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+    page = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    read = pages.select(host_of(F.col(url_col).cast("string")).alias("src"), target_of(_plain(F.regexp_extract(page, BASE, 1)), F.lit("")).alias("base"), F.regexp_extract_all(page, F.lit(LINK), F.lit(1)).alias("links"))
+    pairs = read.where("src != ''").select("src", F.explode(F.transform("links", lambda x: target_of(_plain(x), F.col("base")))).alias("dst"))
+    return pairs.where("dst != '' and src != dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
 def pagerank(edges: DataFrame, seeds: DataFrame, *, damping: float = DAMPING, rounds: int | None = None, tolerance: float = TOLERANCE) -> DataFrame:

@@ -117,7 +117,7 @@ def test_pagerank_against_a_dense_solution(spark):
 def test_pagerank_reaches_the_end_of_a_long_chain(spark):
     n = 22
     pages = [(f"http://h{i}.net/", f'<a href="//h{i + 1}.net/x">') for i in range(n)]
-    edges = url_filter.host_edges(spark.createDataFrame(pages, "url string, html string")).localCheckpoint()
+    edges = url_filter.host_edges(spark.createDataFrame(pages, "url string, html string")).persist()
     assert {(r["src"], r["dst"]) for r in edges.collect()} == {(f"h{i}.net", f"h{i + 1}.net") for i in range(n)}
     seeds = spark.createDataFrame([("h0.net", 1.0)], "host string, mass double")
     # a wide tolerance: only the hosts still to be reached keep the rounds going
