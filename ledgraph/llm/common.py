@@ -8,7 +8,12 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+SALTS = 32
+"""Tasks that a hot key's rows are dealt to."""
+HOT_KEYS = 1000
+"""A key is hot if it has more than one row in so many of all; so there are fewer hot keys than this."""
 
 _local_scratch: dict[str, str] = {}
 
@@ -20,10 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where it is unset (a local session, as in tests) a temporary folder is taken.
+    Only where it is unset in a local session, as in tests, a temporary folder is taken.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local_scratch:
             _local_scratch[app] = f"file://{tempfile.mkdtemp(prefix='ledgraph-')}"
@@ -40,6 +47,29 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+    """Rows with the fact of their key; ``facts`` has one row a key, and ``n``, how many rows have it.
+
+    A hot key's rows are dealt by ``by`` to several tasks, and its fact goes to each of
+    them; hot keys are fewer than ``HOT_KEYS``, so they are broadcast.  ``facts`` is read
+    several times and should be a written table.  Keys are not null.
+    """
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(facts.where(F.col("n") * HOT_KEYS > total).select(*on, F.lit(True).alias("_hot")))
+    some = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    wide = facts.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), some).otherwise(F.array(F.lit(0))))).drop("_hot", "n")
+    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return dealt.join(wide, [*on, "_salt"], how).drop("_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new to the frame."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def batch(**columns) -> pa.RecordBatch:
     """A record batch from arrays, in the order given."""
     arrays = [c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()]

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
-from .common import written
+from .common import hot_join, written
 from .components import components
 
 MIN_WORDS = 50
@@ -182,25 +182,30 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["id"].dataType.simpleString()
     doc = F.struct("id", "mark")
     runs = _runs(rows, kind, seed, min_words)
-    grouped = runs.groupBy("f0", "run").agg(F.min(F.struct("id", "mark", "place")).alias("r"), F.max(doc).alias("last"), F.first("n").alias("n"))
-    grouped = written(grouped.select("f0", "run", F.struct("r.id", "r.mark").alias("first"), "last", "r.place", "n"), "runs")
-    owned = grouped.groupBy("f0").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")).where("low != high").select("f0", "kinds")
-    shared = written(grouped.join(owned, "f0"), "shared").withColumn("many", F.expr("first != last"))
+    grouped = runs.groupBy("f0", "run").agg(F.min(F.struct("id", "mark", "place")).alias("r"), F.max(doc).alias("last"), F.first("n").alias("n"), F.count("*").alias("held"))
+    grouped = written(grouped.select("f0", "run", F.struct("r.id", "r.mark").alias("first"), "last", "r.place", "n", "held"), "runs")
+    owned = grouped.groupBy("f0").agg(F.count("*").alias("kinds"), F.min("first").alias("low"), F.max("last").alias("high")).where("low != high")
+    owned = written(owned.select("f0", "kinds", F.col("kinds").alias("n")), "owned")
+    shared = written(hot_join(grouped.withColumnRenamed("n", "windows"), owned, ["f0"], ["run"]).withColumnRenamed("windows", "n"), "shared").withColumn("many", F.expr("first != last"))
     one = shared.where("kinds = 1").select("f0", "run", F.expr("shiftleft(1L, n) - 1").alias("mask"), "first")
     wanted = shared.where("kinds > 1").groupBy("first").agg(F.collect_list(F.struct("place", "n", "f0", "run", "many")).alias("runs")).select("first.id", "first.mark", "runs")
     windows = written(_windows(_with_text(rows, wanted), kind, min_words), "windows")
-    met = windows.groupBy("f0", "w").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.max("many").alias("many")).where("many or first != last").select("f0", "w", "first")
-    back = written(windows.join(met, ["f0", "w"]).groupBy("f0", "run", doc.alias("holder"), "first").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")), "back")
+    met = windows.groupBy("f0", "w").agg(F.min(doc).alias("first"), F.max(doc).alias("last"), F.max("many").alias("many"), F.count("*").alias("n")).where("many or first != last")
+    met = written(met.select("f0", "w", "first", "n"), "met")
+    back = written(hot_join(windows, met, ["f0", "w"], ["id", "mark", "run", "k"]).groupBy("f0", "run", doc.alias("holder"), "first").agg(F.expr("bit_or(shiftleft(1L, k))").alias("mask")), "back")
     several = back.groupBy("f0", "run").agg(F.expr("bit_or(mask)").alias("mask"), F.min("first").alias("first"))
-    found = runs.join(one.unionByName(several), ["f0", "run"]).select("id", "mark", "place", "mask", "first")
+    # a run that many documents have is hot
+    masks = written(one.unionByName(several).join(shared.select("f0", "run", F.col("held").alias("n")), ["f0", "run"]), "masks")
+    found = hot_join(runs.drop("n"), masks, ["f0", "run"], ["id", "mark", "place"]).select("id", "mark", "place", "mask", "first")
     per_doc = written(found.groupBy("id", "mark").agg(F.collect_set(F.struct("place", "mask")).alias("at"), F.min("first").alias("first"), F.collect_set(F.xxhash64("first.id", "first.mark")).alias("firsts")), "found")
     # a run's documents are linked with its first window's document, and that run's first with the other windows' first
     key = F.xxhash64("id", "mark")
     links = per_doc.select(key.alias("a"), F.explode("firsts").alias("b")).unionByName(back.select(F.xxhash64("holder.id", "holder.mark").alias("a"), F.xxhash64("first.id", "first.mark").alias("b")))
     labels = components(links.where("a != b").distinct()).distinct()
-    named = per_doc.select(key.alias("node"), "id").join(labels, "node")
-    classes = named.groupBy("label").agg(F.min(F.struct("id")).alias("least"))  # a null id is smallest, as in the order of documents
-    facts = per_doc.withColumn("node", key).join(labels, "node").join(classes, "label").select("id", "mark", "at", F.expr("first < struct(id, mark)").alias("copy"), F.col("least.id").alias("class_id"))
+    named = written(per_doc.withColumn("node", key).join(labels, "node"), "named")
+    # a null id is smallest, as in the order of documents
+    classes = written(named.groupBy("label").agg(F.min(F.struct("id")).alias("least"), F.count("*").alias("n")), "classes")
+    facts = hot_join(named, classes, ["label"], ["node"]).select("id", "mark", "at", F.expr("first < struct(id, mark)").alias("copy"), F.col("least.id").alias("class_id"))
     return _passages(_with_text(rows, facts), kind, min_words).distinct()
 
 
