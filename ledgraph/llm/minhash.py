@@ -28,7 +28,9 @@ Links are confirmed by comparing the two texts' full shingle sets.
 Edge cases.  Null and empty texts, and texts without words, have empty sets and
 are linked with nothing.  Repeated rows are in one class.  A null id counts as
 larger than any other, so it names a component only where there is no other.
-An empty table gives an empty result.  Texts are never cut.
+An empty table gives an empty result.  Texts are never cut.  Other columns are
+not read by ``near_duplicates`` and pass through ``keep_one`` whatever their names.
+Of rows alike in id and text ``keep_one`` keeps one.
 """
 
 from __future__ import annotations
@@ -42,7 +44,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .adjacency import adjacent
-from .common import written
+from .common import HOT_KEYS, SALTS, free_name, hot_join, written
 from .components import components
 
 SHINGLE = 5
@@ -203,15 +205,21 @@ def intersections(left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray,
 def across(rows: DataFrame, on: list[str], condition, values: list[str]) -> DataFrame:
     """Pairs of rows that agree in ``on`` and differ in label: those outside the largest label against all others.
 
-    What has one label makes no pairs, however much of it there is.  Columns: a_* and b_* of the values.
+    What has one label makes no pairs, however much of it there is.  A hot key's rows are dealt to
+    several tasks, those outside the largest label to each of them.  Columns: a_* and b_* of the values.
     """
-    split = rows.groupBy(*on).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select(*on)
-    open_rows = rows.join(split, on)
-    sized = open_rows.groupBy(*on, "label").agg(F.count("*").alias("c"))
-    largest = sized.groupBy(*on).agg(F.max(F.struct("c", "label")).alias("top")).select(*on, F.col("top.label").alias("main"))
-    rest = open_rows.join(largest, on).where("label != main").select(*on, *(F.col(v).alias(f"a_{v}") for v in [*values, "label"]))
-    facing = rows.select(*on, *(F.col(v).alias(f"b_{v}") for v in [*values, "label"]))
-    return rest.join(facing, on).where((F.col("a_label") != F.col("b_label")) & condition)
+    sized = rows.groupBy(*on, "label").agg(F.count("*").alias("c"))
+    split = sized.groupBy(*on).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
+    split = written(split.select(*on, F.col("top.label").alias("main"), "n"), "split")
+    open_rows = written(hot_join(rows, split, on, values).select(*on, *values, "label", "main"), "open")
+    rest = open_rows.where("label != main").select(*on, *(F.col(v).alias(f"a_{v}") for v in [*values, "label"]))
+    facing = open_rows.select(*on, *(F.col(v).alias(f"b_{v}") for v in [*values, "label"]))
+    total = split.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(split.where(F.col("n") * HOT_KEYS > total).select(*on, F.lit(True).alias("_hot")))
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    wide = rest.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))).drop("_hot")
+    dealt = facing.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*(f"b_{v}" for v in values)), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    return wide.join(dealt, [*on, "_salt"]).where((F.col("a_label") != F.col("b_label")) & condition).drop("_salt")
 
 
 def dense_pairs(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
@@ -264,16 +272,17 @@ def crowded(classes: DataFrame) -> DataFrame:
     """(tree, g0.., node, n, size): the places of all classes in all trees whose region holds another class."""
     trees = F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.struct(t.alias("tree"), *(F.get("groups", (t + i) % TREES).alias(f"g{i}") for i in range(DEPTH))))
     forest = classes.select("node", "n", F.explode(trees).alias("at")).select("node", "n", "at.*")
-    sizes = forest.groupBy("tree", "g0").agg(F.count("*").alias("size")).where("size > 1")
-    return forest.join(sizes, ["tree", "g0"])
+    sizes = written(forest.groupBy("tree", "g0").agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "sizes")
+    return hot_join(forest.withColumnRenamed("n", "n_set"), sizes, ["tree", "g0"], ["node"]).withColumnRenamed("n_set", "n")
 
 
 def pivots(forest: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) of each class in a dense region and the region's most typical class: that whose regions are largest in all trees."""
     score = forest.groupBy("node").agg(F.sum("size").alias("score"))
     dense = forest.where(F.col("size") > DENSE).select("tree", "g0", "node", "n").join(score, "node")
-    typical = dense.groupBy("tree", "g0").agg(F.max(F.struct("score", "node", "n")).alias("p")).select("tree", "g0", F.col("p.node").alias("a"), F.col("p.n").alias("na"))
-    return dense.join(typical, ["tree", "g0"]).select("a", F.col("node").alias("b"), "na", F.col("n").alias("nb"))
+    typical = dense.groupBy("tree", "g0").agg(F.max(F.struct("score", "node", "n")).alias("p"), F.count("*").alias("n"))
+    typical = written(typical.select("tree", "g0", F.col("p.node").alias("a"), F.col("p.n").alias("na"), "n"), "typical")
+    return hot_join(dense.select("tree", "g0", F.col("node").alias("b"), F.col("n").alias("nb")), typical, ["tree", "g0"], ["b"]).select("a", "b", "na", "nb")
 
 
 def unfinished(forest: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
@@ -311,10 +320,10 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
     links = links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent))
     labels = components(links)
-    of_class = classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))
+    of_class = written(classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "labelled")
     # a null id stands behind all others
-    least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"))
-    component = of_class.join(least, "label").select("node", "least")
+    least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"), F.count("*").alias("n"))
+    component = hot_join(of_class, written(least, "least"), ["label"], ["node"]).select("node", "least")
     return sets.select("id", "mark", "n", "node").join(component, "node", "left")
 
 
@@ -328,7 +337,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The first document of each component, and all without words, with all their columns; rows alike in id and text are one."""
     out = groups(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
-    stay = out.where(F.col("node").isNull() | F.struct("id", "mark").eqNullSafe(F.col("least"))).select(F.col("id").alias("__i"), F.col("mark").alias("__m")).distinct()
-    marked = docs.withColumn("__mark", F.xxhash64(F.col(text_col).cast("string")))
-    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left_semi")
-    return kept.dropDuplicates([id_col, "__mark"]).drop("__mark")
+    i, m = (free_name(docs, c) for c in ("stay_id", "stay_mark"))
+    stay = out.where(F.col("node").isNull() | F.struct("id", "mark").eqNullSafe(F.col("least"))).select(F.col("id").alias(i), F.col("mark").alias(m)).distinct()
+    mark = free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64(F.col(text_col).cast("string")))
+    kept = marked.join(stay, F.col(id_col).eqNullSafe(F.col(i)) & (F.col(mark) == F.col(m)), "left_semi")
+    return kept.dropDuplicates([id_col, mark]).drop(mark)
