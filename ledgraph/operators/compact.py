@@ -82,16 +82,29 @@ def compact(log: OpLog, m: Materialized, author: str, physical_ms: int) -> OpLog
 
 
 class CompactionPolicy(Protocol):
-    def should_compact(self, n_entries: int) -> bool: ...
+    def should_compact(self, store) -> bool: ...
 
+    def check(self, store) -> str | None: ...
 
-class IntervalPolicy:
+
+class _Policy:
+    reclaim_disk = False
+
+    def should_compact(self, store) -> bool:
+        raise NotImplementedError
+
+    def check(self, store) -> str | None:
+        """Compact the store if it is time; the checkpoint's hash, or None.  Peers are the caller's matter."""
+        return store.compact(safe=False, reclaim_disk=self.reclaim_disk) if self.should_compact(store) else None
+
+
+class IntervalPolicy(_Policy):
     """The first check compacts, later ones after so many seconds."""
 
-    def __init__(self, seconds: float):
-        self.seconds, self._last = seconds, None
+    def __init__(self, seconds: float, reclaim_disk: bool = False):
+        self.seconds, self.reclaim_disk, self._last = seconds, reclaim_disk, None
 
-    def should_compact(self, n_entries: int) -> bool:
+    def should_compact(self, store=None) -> bool:
         now = time.monotonic()
         if self._last is not None and now - self._last < self.seconds:
             return False
@@ -99,11 +112,11 @@ class IntervalPolicy:
         return True
 
 
-class ThresholdPolicy:
-    """More than so many entries."""
+class ThresholdPolicy(_Policy):
+    """More than so many entries; takes a store or a number of entries."""
 
-    def __init__(self, max_entries: int = 1000):
-        self.max_entries = max_entries
+    def __init__(self, max_entries: int = 1000, reclaim_disk: bool = False):
+        self.max_entries, self.reclaim_disk = max_entries, reclaim_disk
 
-    def should_compact(self, n_entries: int) -> bool:
-        return n_entries > self.max_entries
+    def should_compact(self, store) -> bool:
+        return (store if isinstance(store, int) else len(store)) > self.max_entries

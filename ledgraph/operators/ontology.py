@@ -246,6 +246,36 @@ class Ontology:
             out = F.when(node_type == name, errors).otherwise(out)
         return out
 
+    # -- the same for one operation on the driver ---------------------------
+
+    def judge_node(self, node_type: str, subtype: str | None, properties: Mapping) -> str | None:
+        """As ``node_error``, for one node with encoded properties."""
+        t = self.node_types.get(node_type)
+        if t is None:
+            return f"unknown node type: {node_type}"
+        if t["subtypes"] and subtype is None:
+            return f"{node_type} requires a subtype"
+        extra = t["subtypes"].get(subtype, {"properties": {}})["properties"]
+        return judge_properties(self.effective_properties(node_type) | extra, properties)
+
+    def judge_edge(self, edge_type: str, source_type: str, target_type: str, properties: Mapping) -> str | None:
+        e = self.edge_types.get(edge_type)
+        if e is None:
+            return f"unknown edge type: {edge_type}"
+        for side, kind, allowed in (("source", source_type, e["source_types"]), ("target", target_type, e["target_types"])):
+            if not any(self.is_a(kind, a) for a in allowed):
+                return f"{edge_type} does not allow {side} type {kind}"
+        return judge_properties(e["properties"], properties)
+
+    def judge_update(self, node_type: str | None, subtype: str | None, edge_type: str | None, key: str, value: Mapping) -> str | None:
+        if node_type is not None:
+            t = self.node_types.get(node_type, {"subtypes": {}})
+            declared = self.effective_properties(node_type) if node_type in self.node_types else {}
+            declared = declared | t["subtypes"].get(subtype, {"properties": {}})["properties"]
+        else:
+            declared = self.edge_types.get(edge_type, {"properties": {}})["properties"]
+        return judge_value(key, declared[key], value) if key in declared else None
+
 
 def _add_properties(props: dict, added: Mapping | None, where: str) -> None:
     for name, spec in (added or {}).items():
@@ -299,3 +329,43 @@ def value_error(name: str, p: Mapping, value: Column) -> Column:
         checks.append((broken, f"{name} violates pattern"))
     live = value.isNotNull() & (value["kind"] != "null")
     return F.coalesce(*[F.when(live & broken, F.lit(message)) for broken, message in checks], F.lit(None).cast("string"))
+
+
+def judge_properties(declared: Mapping[str, dict], properties: Mapping) -> str | None:
+    """As ``properties_error``, for one operation."""
+    for name, p in sorted(declared.items()):
+        if p["required"] and name not in properties:
+            return f"missing required property {name}"
+    return next((e for name, p in sorted(declared.items()) if name in properties and (e := judge_value(name, p, properties[name]))), None)
+
+
+def judge_value(name: str, p: Mapping, value: Mapping) -> str | None:
+    """As ``value_error``, for one encoded value."""
+    import re
+
+    kind, text = value["kind"], value["lit"]
+    if kind == "null":
+        return None
+    if p["value_type"] not in ("any", kind):
+        return f"{name} is not of type {p['value_type']}"
+    c = p["constraints"]
+    if kind == "string" and isinstance(c.get("enum"), list) and text not in [m for m in c["enum"] if isinstance(m, str)]:
+        return f"{name} is not one of the allowed values"
+    if kind in ("int", "float"):
+        x = float(text)
+        for key, broken in (("min", x.__lt__), ("max", x.__gt__), ("min_exclusive", x.__le__), ("max_exclusive", x.__ge__)):
+            if isinstance(c.get(key), int | float) and not isinstance(c.get(key), bool) and broken(float(c[key])):
+                return f"{name} violates {key}"
+    if kind == "string":
+        size = len(text.encode())
+        for key, broken in (("min_length", size.__lt__), ("max_length", size.__gt__)):
+            if isinstance(c.get(key), int) and not isinstance(c.get(key), bool) and broken(c[key]):
+                return f"{name} violates {key}"
+        if isinstance(c.get("pattern"), str):
+            try:
+                fits = re.search(c["pattern"], text) is not None
+            except re.error:
+                fits = False
+            if not fits:
+                return f"{name} violates pattern"
+    return None

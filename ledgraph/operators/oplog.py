@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+from collections.abc import Mapping
 from functools import cached_property
 
 import pandas as pd
@@ -14,10 +18,23 @@ from . import replay, traverse
 from .graph import Graph
 from .ontology import Ontology
 
+_CONTROL = re.compile(r"\\\\|\\u00[0-9a-f]{2}")
+
 
 def entry_hash() -> Column:
-    """Digest of payload, parents, clock and author."""
-    return F.sha2(F.to_json(F.struct(*OPERAND_NAMES, "ckpt_ops", F.array_sort("next").alias("next"), "physical_ms", "logical", "clock_id", "author")), 256)
+    """Digest of payload, parents, clock and author; properties in the order of their names."""
+    operands = [F.map_from_entries(F.array_sort(F.map_entries("properties"))).alias(c) if c == "properties" else F.col(c) for c in OPERAND_NAMES]
+    return F.sha2(F.to_json(F.struct(*operands, "ckpt_ops", F.array_sort("next").alias("next"), "physical_ms", "logical", "clock_id", "author")), 256)
+
+
+def hash_of(entry: Mapping) -> str:
+    """The same digest of one entry (not a checkpoint) without Spark, for single writes."""
+    row: dict[str, object] = {c: entry.get(c) for c in OPERAND_NAMES}
+    if row["properties"] is not None:
+        row["properties"] = {k: {"kind": v["kind"], "lit": v["lit"]} for k, v in sorted(row["properties"].items())}
+    row |= {"next": sorted(entry["next"]), **{c: entry[c] for c in ("physical_ms", "logical", "clock_id", "author")}}
+    text = json.dumps({k: v for k, v in row.items() if v is not None}, ensure_ascii=False, separators=(",", ":"))
+    return hashlib.sha256(_CONTROL.sub(lambda m: m[0][:2] + m[0][2:].upper(), text).encode()).hexdigest()
 
 
 class OpLog:
@@ -81,6 +98,11 @@ class OpLog:
     def verify_integrity(self) -> bool:
         return self.violations().isEmpty()
 
+    def orphans(self) -> DataFrame:
+        """(hash, parent) of parents that the log lacks; repeated parents are told once."""
+        parents = self.links.select("parent").distinct().join(self.df.select(F.col("hash").alias("parent")), "parent", "left_anti")
+        return self.links.join(parents, "parent", "left_semi").select("hash", "parent")
+
     # -- order --------------------------------------------------------------
 
     def causal_positions(self) -> DataFrame:

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import HybridClock
+from ..functions.schema import ENTRY_NAMES
+from ..functions.scratch import written
 from . import traverse
 from .oplog import OpLog, entry_hash
 
@@ -97,23 +99,35 @@ def filtered_missing(log: OpLog, remote: SyncOffer, node_types: list[str]) -> Da
     return lacking.join(closure, "hash", "left_semi").orderBy("physical_ms", "logical", F.desc("clock_id"), "hash")
 
 
-def merge(log: OpLog, incoming: DataFrame, *, now_ms: int | None = None) -> tuple[OpLog, int]:
-    """The log with the incoming entries, and how many were new.
+def admitted(log: OpLog, incoming: DataFrame, *, instance_id: str | None = None, now_ms: int | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """The incoming entries that are new and pass the gates, as a written table.
 
-    Entries whose hash doesn't fit are an error, as are parents that neither side has; entries far in
-    the future are refused; a foreign checkpoint is accepted only by a log that holds its genesis alone.
+    Refused are another replica's checkpoints (unless the log holds no more than its genesis, which they
+    can't replace unseen) and entries, schemas apart, dated more than ``MAX_DRIFT_MS`` after ``now_ms``.
+    Entries whose hash doesn't fit, parents that neither side has and messages of more than
+    ``max_entries`` are errors.
     """
-    fresh = incoming.dropDuplicates(["hash"]).join(log.df.select("hash"), "hash", "left_anti")
+    if incoming.limit(max_entries + 1).count() > max_entries:
+        raise ValueError(f"a message has at most {max_entries} entries")
+    fresh = incoming.select(*ENTRY_NAMES).dropDuplicates(["hash"]).join(log.df.select("hash"), "hash", "left_anti").select(*ENTRY_NAMES)
+    if log.df.limit(2).count() > 1:
+        foreign = F.col("op") == "checkpoint"
+        fresh = fresh.where(~(foreign if instance_id is None else foreign & (F.col("author") != instance_id)))
     if now_ms is not None:
-        fresh = fresh.where(F.col("physical_ms") <= now_ms + MAX_DRIFT_MS)
+        fresh = fresh.where((F.col("op") == "define_ontology") | (F.col("physical_ms") <= now_ms + MAX_DRIFT_MS))
+    fresh = written(fresh, "admitted")
     if not fresh.where(F.col("hash") != entry_hash()).isEmpty():
         raise ValueError("an entry's hash does not fit its content")
-    if not fresh.where(F.col("op") == "checkpoint").isEmpty() and log.df.where("op != 'define_ontology'").limit(1).count():
-        fresh = fresh.where(F.col("op") != "checkpoint")
     known = log.df.select(F.col("hash").alias("parent")).unionByName(fresh.select(F.col("hash").alias("parent")))
     orphans = fresh.select("hash", F.explode("next").alias("parent")).join(known, "parent", "left_anti")
     if not orphans.isEmpty():
         raise ValueError("an entry's parent is known to neither side")
+    return fresh
+
+
+def merge(log: OpLog, incoming: DataFrame, **gates) -> tuple[OpLog, int]:
+    """The log with the admitted entries, in whatever order they came, and how many were new."""
+    fresh = admitted(log, incoming, **gates)
     return log.merged(fresh), fresh.count()
 
 

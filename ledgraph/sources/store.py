@@ -10,16 +10,25 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import HybridClock
 from ..functions.schema import ENTRY_NAMES, layout
+from ..functions.scratch import written
 from ..functions.values import encode, encode_all
 from ..operators import compact as compaction
-from ..operators import signing, sync
+from ..operators import replay, signing, sync
 from ..operators.graph import Graph
 from ..operators.ontology import Ontology
-from ..operators.oplog import OpLog, with_hash
+from ..operators.oplog import OpLog, hash_of, with_hash
 from ..operators.query import Query
 from ..operators.replay import Materialized
 
 
+CODECS = ("none", "snappy", "gzip", "lz4", "zstd")
+FLUSH_MODES = ("immediate", "deferred")
+FLUSH_AT = 10_000
+"""Waiting entries that are flushed even in deferred mode."""
+LOOKUPS = 100_000
+"""Ids whose state is remembered between writes."""
+
+
 class ValidationError(ValueError):
     """An operation that the schema or the present graph refuses."""
 
@@ -27,10 +36,19 @@ class ValidationError(ValueError):
 class GraphStore:
     """Local writes are validated, clocked, hashed and appended; reads are lazy frames over a replay.
 
-    Single writes wait in memory until ``flush`` (or a read), and go out as one file.
+    Single writes are judged and hashed on the driver.  They wait in memory until ``flush``, a read or
+    ``FLUSH_AT`` entries, and go out as one file; in flush mode ``immediate`` each goes out at once.
+    What the present graph says about an id is looked up once and kept up with the writes.
     """
 
-    def __init__(self, spark: SparkSession, instance_id: str, ontology: str | Mapping | Ontology | None = None, path: str | None = None):
+    def __init__(self, spark: SparkSession, instance_id: str, ontology: str | Mapping | Ontology | None = None, path: str | None = None, *, codec: str = "snappy"):
+        if codec not in CODECS:
+            raise ValueError(f"codec is one of {', '.join(CODECS)}")
+        self.codec, self._mode = codec, "deferred"
+        self._known: dict[str, dict | None] = {}
+        self._waiting: dict[str, list[dict]] = {}
+        self._base_graph: Graph | None = None
+        self._schema: Ontology | None = None
         self.spark, self.instance_id, self.path = spark, instance_id, path
         self._pending: list[dict] = []
         self._stored: DataFrame | None = None
@@ -55,29 +73,42 @@ class GraphStore:
         else:
             if ontology is None:
                 raise ValueError("a new store needs an ontology")
-            self._base = _ontology(ontology)
+            self._base = self._schema = _ontology(ontology)
             self._append({"op": "define_ontology", "schema_json": self._base.to_json()})
 
     @classmethod
-    def open(cls, spark: SparkSession, path: str, instance_id: str | None = None) -> GraphStore:
+    def open(cls, spark: SparkSession, path: str, instance_id: str | None = None, *, codec: str = "snappy") -> GraphStore:
+        """The store at a path; rows may be in any order, but no parent may be absent."""
         found = spark.read.schema(layout()).parquet(path)
         first = found.orderBy("physical_ms", "logical", "hash").select("author").first()
         if first is None:
             raise ValueError("the store is empty")
-        return cls(spark, instance_id or first["author"], None, path)
+        if not OpLog(found).orphans().isEmpty():
+            raise ValueError("an entry's parent is absent")
+        return cls(spark, instance_id or first["author"], None, path, codec=codec)
 
     @classmethod
     def from_snapshot(cls, spark: SparkSession, instance_id: str, snapshot: DataFrame, path: str | None = None) -> GraphStore:
         if snapshot.isEmpty():
             raise ValueError("the snapshot is empty")
-        out = cls.__new__(cls)
-        GraphStore.__init__(out, spark, instance_id, {}, None)
-        out._pending, out._stored, out._base, out.path = [], snapshot.select(*ENTRY_NAMES), None, path
+        out = cls(spark, instance_id, {}, None)
+        out._pending, out._stored, out._base, out.path, out._schema = [], snapshot.select(*ENTRY_NAMES), None, path, None
         if path:
-            snapshot.write.mode("append").parquet(path)
-        out._heads = [r["hash"] for r in out.log.heads().collect()]
+            out._write(out._stored)
+        out._settle()
         return out
 
+    def _write(self, rows: DataFrame, mode: str = "append") -> None:
+        rows.select(*ENTRY_NAMES).write.mode(mode).option("compression", self.codec).parquet(self.path)
+        self._stored = self.spark.read.schema(layout()).parquet(self.path)
+
+    def _settle(self) -> None:
+        """Heads and clock from the stored entries; what was derived from others goes."""
+        self._known, self._waiting, self._base_graph, self._schema, self._materialized = {}, {}, None, None, None
+        self._heads = [r["hash"] for r in self.log.heads().collect()]
+        last = self._stored.agg(F.max(F.struct("physical_ms", "logical"))).first()[0]
+        self.clock = self.clock.merge(HybridClock("", last[0], last[1]))
+
     def _existing(self, path: str | None) -> DataFrame | None:
         if path is None:
             return None
@@ -90,87 +121,147 @@ class GraphStore:
 
     def _append(self, fields: Mapping[str, object]) -> str:
         self.clock = self.clock.tick()
-        row = dict.fromkeys(ENTRY_NAMES) | dict(fields)
-        row |= {"author": self.instance_id, "clock_id": self.instance_id, "physical_ms": self.clock.physical_ms, "logical": self.clock.logical, "next": sorted(self._heads)}
-        # the digest is that of the SQL expression, so that any reader can verify it
-        entry = with_hash(self.spark.createDataFrame([tuple(row[c] for c in layout().names)], layout())).first().asDict(recursive=True)
+        entry = dict.fromkeys(ENTRY_NAMES) | dict(fields)
+        entry |= {"author": self.instance_id, "clock_id": self.instance_id, "physical_ms": self.clock.physical_ms, "logical": self.clock.logical, "next": sorted(self._heads)}
+        entry["hash"] = hash_of(entry)
         if self._key is not None:
             entry["signature"] = signing.sign(self._key, bytes.fromhex(entry["hash"]))
         self._pending.append(entry)
         self._heads = [entry["hash"]]
         self._materialized = None
+        if self._mode == "immediate" and self.path or len(self._pending) >= FLUSH_AT:
+            self.flush()
         self._notify(entry, True)
         return entry["hash"]
 
+    def _touch(self, id_: str, change: dict) -> None:
+        """Keep what is remembered of an id up with a write."""
+        if id_ in self._known or self._stored is None:
+            self._known[id_] = _changed(self._known.get(id_), change)
+        else:
+            self._waiting.setdefault(id_, []).append(change)
+
+    def _look_up(self, *ids: str) -> list[dict | None]:
+        """What lives under each id: a node's type and subtype, or an edge's type; else None.
+
+        The stored entries are asked once for an id; waiting ones come on top.
+        """
+        unknown = [i for i in dict.fromkeys(ids) if i not in self._known]
+        if unknown:
+            if len(self._known) > LOOKUPS:
+                self._forget()
+                unknown = list(dict.fromkeys(ids))
+            found: dict[str, dict] = {}
+            if self._stored is not None:
+                if self._base_graph is None:
+                    self._base_graph = OpLog(self._visible(self._stored)).graph(self._base)
+                g = self._base_graph
+                for r in g.edges.where(F.col("edge_id").isin(unknown)).select("edge_id", "edge_type", "live").collect():
+                    found[r[0]] = r.asDict()
+                for r in g.nodes.where(F.col("node_id").isin(unknown)).select("node_id", "node_type", "subtype", "live").collect():
+                    found[r[0]] = r.asDict()
+            for i in unknown:
+                state = found.get(i)
+                for change in self._waiting.pop(i, ()):
+                    state = _changed(state, change)
+                self._known[i] = state
+        return [x if (x := self._known[i]) is not None and x["live"] else None for i in ids]
+
+    def _forget(self) -> None:
+        """Drop what is remembered of ids; waiting writes are stored first, so that nothing is lost."""
+        self.flush()
+        self._known, self._waiting, self._base_graph = {}, {}, None
+
     def add_node(self, node_id: str, node_type: str, label: str, properties: Mapping | None = None, subtype: str | None = None) -> str:
         props = encode_all(properties)
-        self._judge(lambda df: self.ontology.node_error(F.lit(node_type), F.lit(subtype).cast("string"), F.col("p")), props)
+        self._refuse(self.ontology.judge_node(node_type, subtype, props))
+        self._touch(node_id, {"node_type": node_type, "subtype": subtype})
         return self._append({"op": "add_node", "node_id": node_id, "node_type": node_type, "label": label, "subtype": subtype, "properties": props})
 
     def add_edge(self, edge_id: str, edge_type: str, source_id: str, target_id: str, properties: Mapping | None = None) -> str:
-        ends = {r["node_id"]: r["node_type"] for r in self.graph().all_nodes().where(F.col("node_id").isin(source_id, target_id)).select("node_id", "node_type").collect()}
-        for side, id_ in (("source", source_id), ("target", target_id)):
-            if id_ not in ends:
+        ends = self._look_up(source_id, target_id)
+        for side, id_, end in (("source", source_id, ends[0]), ("target", target_id, ends[1])):
+            if end is None or "node_type" not in end:
                 raise ValidationError(f"{side} node {id_!r} not found")
         props = encode_all(properties)
-        self._judge(lambda df: self.ontology.edge_error(F.lit(edge_type), F.lit(ends[source_id]), F.lit(ends[target_id]), F.col("p")), props)
+        self._refuse(self.ontology.judge_edge(edge_type, ends[0]["node_type"], ends[1]["node_type"], props))
+        self._touch(edge_id, {"edge_type": edge_type})
         return self._append({"op": "add_edge", "edge_id": edge_id, "edge_type": edge_type, "source_id": source_id, "target_id": target_id, "properties": props})
 
     def update_property(self, entity_id: str, key: str, value: object) -> str:
         """Unknown ids are accepted; a known node's or edge's property is checked."""
         e = encode(value)
-        node = self.graph().get_node(entity_id).select("node_type", "subtype").first()
-        edge = None if node else self.graph().get_edge(entity_id).select("edge_type").first()
-        if node or edge:
-            kinds = (node["node_type"], node["subtype"], None) if node else (None, None, edge["edge_type"])
-            self._judge(lambda df: self.ontology.update_error(*(F.lit(k).cast("string") for k in kinds), F.lit(key), F.col("p")[key]), {key: e})
+        found = self._look_up(entity_id)[0]
+        if found is not None:
+            self._refuse(self.ontology.judge_update(found.get("node_type"), found.get("subtype"), found.get("edge_type"), key, e))
         return self._append({"op": "update_property", "entity_id": entity_id, "key": key, "value": e})
 
     def remove_node(self, node_id: str) -> str:
+        self._touch(node_id, {"gone": "node_type"})
         return self._append({"op": "remove_node", "node_id": node_id})
 
     def remove_edge(self, edge_id: str) -> str:
+        self._touch(edge_id, {"gone": "edge_type"})
         return self._append({"op": "remove_edge", "edge_id": edge_id})
 
     def extend_ontology(self, extension: str | Mapping) -> str:
         text = extension if isinstance(extension, str) else json.dumps(extension, sort_keys=True)
-        self.ontology.extended(text)
-        return self._append({"op": "extend_ontology", "schema_json": text})
+        more = self.ontology.extended(text)
+        out = self._append({"op": "extend_ontology", "schema_json": text})
+        self._forget()
+        self._schema = more
+        return out
 
     def apply_raw(self, row: Mapping) -> str:
         fields = {k: v for k, v in row.items() if k != "op"}
         return getattr(self, row["op"])(**fields)
 
-    def _judge(self, error, props: Mapping) -> None:
-        df = self.spark.createDataFrame([(dict(props),)], "p map<string,struct<kind:string,lit:string>>")
-        found = df.select(error(df).alias("e")).first()["e"]
-        if found:
-            raise ValidationError(found)
+    @staticmethod
+    def _refuse(problem: str | None) -> None:
+        if problem:
+            raise ValidationError(problem)
 
     def append_ops(self, operations: DataFrame) -> int:
-        """Bulk append: rows of operands get consecutive clocks under one new parent set, in their given (or id) order."""
-        from pyspark.sql import Window as W
+        """Bulk append: rows of operands get consecutive clocks under one parent set, in their given (or id) order.
 
+        They are sorted and numbered over the cluster: each task counts its range, and only the counts meet.
+        """
         self.clock = self.clock.tick()
-        # one millisecond, logical clocks by row; numbering needs one order over the batch
+        self.flush()
         order = [c for c in ("seq", "node_id", "edge_id", "entity_id", "key") if c in operations.columns]
-        rows = operations.withColumn("logical", (F.row_number().over(W.orderBy(*order)) + self.clock.logical).cast("int")).drop("seq")
+        placed = written(operations.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "operations")
+        counts = placed.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("n")).collect()
+        before, n = {}, 0
+        for r in sorted(counts, key=lambda r: r["_task"]):
+            before[r["_task"]], n = n, n + r["n"]
+        if not n:
+            return 0
+        starts = self.spark.createDataFrame(list(before.items()), "_task long, _before long")
+        rows = placed.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(starts), "_task")
+        number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
+        rows = rows.withColumn("logical", (number + self.clock.logical).cast("int")).drop("seq", "_at", "_task", "_before")
         rows = rows.withColumn("physical_ms", F.lit(self.clock.physical_ms)).withColumn("author", F.lit(self.instance_id)).withColumn("clock_id", F.lit(self.instance_id)).withColumn("next", F.array(*(F.lit(h) for h in self._heads)))
         entries = with_hash(rows)
-        n = operations.count()
-        self.flush()
         if self.path:
-            entries.write.mode("append").parquet(self.path)
-            self._stored = self.spark.read.schema(layout()).parquet(self.path)
+            self._write(entries)
         else:
+            entries = written(entries, "entries")
             self._stored = entries if self._stored is None else self._stored.unionByName(entries)
         self.clock = HybridClock(self.instance_id, self.clock.physical_ms, self.clock.logical + n + 1)
+        self._known, self._base_graph, self._materialized = {}, None, None
         self._heads = [r["hash"] for r in self.log.heads().collect()]
-        self._materialized = None
         return n
 
     # -- durability ---------------------------------------------------------
 
+    def set_flush_mode(self, mode: str) -> None:
+        """``immediate``: each write is stored at once; ``deferred``: writes wait for a flush.  Stores without a path keep all in memory."""
+        if mode not in FLUSH_MODES:
+            raise ValueError(f"flush mode is one of {', '.join(FLUSH_MODES)}")
+        self._mode = mode
+        if mode == "immediate":
+            self.flush()
+
     def pending_flush_count(self) -> int:
         return len(self._pending)
 
@@ -180,13 +271,25 @@ class GraphStore:
         if n:
             rows = self.spark.createDataFrame([tuple(e[c] for c in layout().names) for e in self._pending], layout())
             if self.path:
-                rows.coalesce(1).write.mode("append").parquet(self.path)
-                self._stored = self.spark.read.schema(layout()).parquet(self.path)
+                self._write(rows.coalesce(1))
             else:
                 self._stored = rows if self._stored is None else self._stored.unionByName(rows)
-            self._pending = []
+            self._pending, self._waiting, self._base_graph = [], {}, None
         return n
 
+    def reclaim_disk(self) -> int:
+        """Rewrite the stored entries in as few files as their size asks for; the bytes saved."""
+        if not self.path:
+            return 0
+        self.flush()
+        before = self._bytes()
+        self._write(written(self._stored.repartitionByRange("physical_ms", "logical", "hash"), "compact"), "overwrite")
+        return max(0, before - self._bytes())
+
+    def _bytes(self) -> int:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(hadoop).getLength()
+
     # -- reads --------------------------------------------------------------
 
     @property
@@ -204,7 +307,35 @@ class GraphStore:
 
     @property
     def ontology(self) -> Ontology:
-        return self.materialize().ontology
+        if self._schema is None:
+            self._schema = self.materialize().ontology
+        return self._schema
+
+    def ontology_json(self) -> str:
+        return self.ontology.to_json()
+
+    def node_type_names(self) -> list[str]:
+        return list(self.ontology.node_types)
+
+    def edge_type_names(self) -> list[str]:
+        return list(self.ontology.edge_types)
+
+    def clock_time(self) -> tuple[int, int]:
+        return self.clock.as_tuple()
+
+    def __len__(self) -> int:
+        return (0 if self._stored is None else self._visible(self._stored).count()) + len(self._pending)
+
+    def get(self, hash_: str) -> dict | None:
+        """One entry by its hash; what is no hash is an error."""
+        row = self.log.get(hash_).first()
+        return None if row is None else row.asDict(recursive=True)
+
+    def memory_usage(self) -> int:
+        return self.log.memory_usage()
+
+    def verify_integrity(self) -> bool:
+        return self.log.verify_integrity()
 
     def graph(self) -> Graph:
         m = self.materialize()
@@ -220,10 +351,11 @@ class GraphStore:
         return self.materialize().quarantine.orderBy("hash")
 
     def revalidate(self) -> int:
-        """How many quarantined entries the present schema frees."""
-        before = self.materialize().quarantine.select("hash").distinct()
-        self._materialized = None
-        return before.join(self.materialize().quarantine.select("hash"), "hash", "left_anti").count()
+        """How many entries that the first schema keeps in quarantine the present one frees."""
+        m = self.materialize()
+        base = self._base or replay.fold_schema(self.log.df.where("op in ('define_ontology', 'checkpoint')"))[0]
+        before = replay.materialize(self.log.df.where("op != 'extend_ontology'"), base).quarantine.select("hash").distinct()
+        return before.join(m.quarantine.select("hash"), "hash", "left_anti").count()
 
     def snapshot(self) -> DataFrame:
         return self.log.df
@@ -240,21 +372,17 @@ class GraphStore:
         return sync.filtered_missing(self.log, offer, node_types)
 
     def merge_sync_payload(self, entries: DataFrame) -> int:
-        incoming = self._visible(entries)
-        merged, n = sync.merge(self.log, incoming)
+        """Take in the entries that pass the gates and the signature rules; how many were new."""
+        fresh = sync.admitted(self.log, self._visible(entries), instance_id=self.instance_id, now_ms=self.clock.physical_ms)
+        n = fresh.count()
         if n:
-            fresh = incoming.dropDuplicates(["hash"]).join(self.log.df.select("hash"), "hash", "left_anti").select(*ENTRY_NAMES)
             if self.path:
-                fresh.write.mode("append").parquet(self.path)
-                self._stored = self.spark.read.schema(layout()).parquet(self.path)
+                self._write(fresh)
             else:
-                self._stored = merged.df
-            self._heads = [r["hash"] for r in self.log.heads().collect()]
-            last = self._stored.agg(F.max(F.struct("physical_ms", "logical"))).first()[0]
-            self.clock = self.clock.merge(HybridClock("", last[0], last[1]))
-            self._materialized = None
+                self._stored = self._stored.unionByName(fresh)
+            self._settle()
             if self._callbacks:
-                for row in fresh.toLocalIterator():
+                for row in fresh.orderBy("physical_ms", "logical", "hash").toLocalIterator():
                     self._notify(row.asDict(recursive=True), False)
         return n
 
@@ -291,21 +419,22 @@ class GraphStore:
             reasons.append("a peer has not synced the latest entry")
         return not reasons, reasons
 
-    def compact(self, safe: bool = True) -> str:
+    def compact(self, safe: bool = True, reclaim_disk: bool = False) -> str:
         if safe:
             ok, reasons = self.verify_compaction_safe()
             if not ok:
                 raise RuntimeError("; ".join(reasons))
-        from ..functions.scratch import written
-
         self.clock = self.clock.tick()
         small = written(compaction.compact(self.log, self.materialize(), self.instance_id, self.clock.physical_ms).df, "compacted")
         if self.path:
-            small.write.mode("overwrite").parquet(self.path)
-            small = self.spark.read.schema(layout()).parquet(self.path)
-        self._stored, self._base, self._materialized = small, None, None
-        self._heads = [r["hash"] for r in self.log.heads().collect()]
-        return small.where("op = 'checkpoint'").first()["hash"]
+            self._write(small, "overwrite")
+        else:
+            self._stored = small
+        self._base = None
+        self._settle()
+        if reclaim_disk:
+            self.reclaim_disk()
+        return self._stored.where("op = 'checkpoint'").first()["hash"]
 
     # -- signatures ---------------------------------------------------------
 
@@ -331,5 +460,15 @@ class GraphStore:
         self._strict = strict
 
 
+def _changed(state: dict | None, change: dict) -> dict | None:
+    """An id's state after a write; the type is that of the first addition."""
+    if "gone" in change:
+        return {**state, "live": False} if state is not None and change["gone"] in state else state
+    kind = "node_type" if "node_type" in change else "edge_type"
+    if state is None or kind not in state:
+        return {**change, "live": True} if state is None or kind == "node_type" else state
+    return {**state, **change, kind: state[kind], "live": True}
+
+
 def _ontology(spec: str | Mapping | Ontology) -> Ontology:
     return spec if isinstance(spec, Ontology) else Ontology(spec)

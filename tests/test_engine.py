@@ -255,3 +255,109 @@ def test_tail_stream(spark, tmp_path):
     assert [len(b) for b in batches] == [3, 1, 0]
     store.add_node("d", "thing", "d")
     assert [e["node_id"] for e in tail.next_batch()] == ["d"]
+
+
+def test_driver_hash_and_validators_are_those_of_the_columns(spark):
+    from pyspark.sql import functions as F
+
+    from ledgraph.operators.oplog import entry_hash, hash_of
+
+    texts = ["plain", 'q"b\\s/', "tab\tnl\n\x01\x1f\x7f", "é日\U0001f600 ", ""]
+    rows = [dict.fromkeys(layout().names) | {"op": "add_node", "node_id": t, "label": t, "properties": encode_all({"z": t, "a": 1, "é": [1, None], "m": {"k": t}}), "physical_ms": 5, "logical": 1, "clock_id": "c", "author": "x", "next": ["b" * 64, "a" * 64]} for t in texts]
+    df = spark.createDataFrame([tuple(r[c] for c in layout().names) for r in rows], layout())
+    assert [r["h"] for r in df.select(entry_hash().alias("h")).collect()] == [hash_of(r) for r in rows]
+    o = Ontology(SCHEMA)
+    cases = [("server", None, p) for p in ({}, {"port": 0}, {"port": 70000}, {"port": 1.5}, {"port": None, "status": "up"}, {"status": "sideways"}, {"name": 3})] + [("box", None, {}), ("box", "small", {}), ("box", "small", {"w": 1}), ("box", "other", {}), ("nope", None, {})]
+    for kind, sub, props in cases:
+        e = encode_all(props)
+        column = spark.createDataFrame([(e,)], "p map<string,struct<kind:string,lit:string>>").select(o.node_error(F.lit(kind), F.lit(sub).cast("string"), F.col("p"))).first()[0]
+        assert column == o.judge_node(kind, sub, e), (kind, sub, props)
+    assert o.judge_edge("LINKS", "server", "thing", {}) is None and o.judge_edge("LINKS", "box", "thing", {}) == "LINKS does not allow source type box"
+    assert o.judge_update("server", None, None, "port", encode(0)) == "port violates min" and o.judge_update("server", None, None, "name", encode(1)) == "name is not of type string"
+
+
+def test_writes_know_the_graph_without_replaying_it(spark, tmp_path):
+    store = GraphStore(spark, "one", SCHEMA, str(tmp_path / "log"), codec="zstd")
+    store.add_node("a", "server", "A")
+    store.flush()
+    store.add_node("a", "thing", "still a server")
+    with pytest.raises(ValidationError):
+        store.update_property("a", "port", 0)
+    store.remove_node("a")
+    with pytest.raises(ValidationError):
+        store.add_edge("e", "LINKS", "a", "a")
+    assert store.pending_flush_count() == 2
+    store.set_flush_mode("immediate")
+    store.add_node("b", "server", "B", {"port": 1})
+    assert store.pending_flush_count() == 0 and len(store) == 5
+    with pytest.raises(ValueError):
+        store.set_flush_mode("sometimes")
+    assert store.reclaim_disk() > 0 and len(store) == 5 and store.verify_integrity()
+    h = store.add_node("c", "server", "C")
+    assert store.get(h)["node_id"] == "c" and store.get("0" * 64) is None and store.memory_usage() > 0
+    with pytest.raises(ValueError):
+        store.get("no hash")
+    assert store.node_type_names() == ["box", "server", "thing"] and store.edge_type_names() == ["LINKS"] and store.clock_time() == store.clock.as_tuple()
+    assert ThresholdPolicy(3).check(store) is not None and len(store) == 1 and ThresholdPolicy(3, reclaim_disk=True).check(store) is None
+
+
+def test_bulk_writes_are_numbered_in_order(spark, tmp_path):
+    store = GraphStore(spark, "one", SCHEMA, str(tmp_path / "log"))
+    ops = spark.range(500).selectExpr("id AS seq", "'add_node' AS op", "concat('n', id) AS node_id", "'thing' AS node_type", "'x' AS label").repartition(7)
+    assert store.append_ops(ops) == 500
+    rows = store.log.df.where("op = 'add_node'").orderBy("logical").collect()
+    assert [r["node_id"] for r in rows] == [f"n{i}" for i in range(500)] and len({r["logical"] for r in rows}) == 500
+    assert store.verify_integrity() and store.append_ops(ops.limit(0)) == 0
+
+
+def test_merge_gates(spark):
+    store = GraphStore(spark, "one", SCHEMA)
+    store.add_node("mine", "thing", "M")
+    other = GraphStore.from_snapshot(spark, "two", store.snapshot())
+    other.add_node("theirs", "thing", "T")
+    other.compact(safe=False)
+    other.add_node("later", "thing", "L")
+    # a foreign checkpoint is refused, and what builds on it alone can't come
+    boxed = other.snapshot().where("op = 'checkpoint'")
+    assert store.merge_sync_payload(boxed) == 0 and store.log.df.where("op = 'checkpoint'").count() == 0
+    fresh = GraphStore(spark, "three", SCHEMA)
+    assert fresh.merge_sync_payload(boxed) == 1
+    # far in the future
+    far = entries(spark, [node((9_000_000_000_000, 0, "z"), "far")]).df.where("op = 'add_node'")
+    before = store.clock.physical_ms
+    assert store.merge_sync_payload(far) == 0 and store.clock.physical_ms < before + 1_000_000
+    # in any order, twice over; a changed entry is an error
+    third = GraphStore.from_snapshot(spark, "four", store.snapshot())
+    for c in "xyz":
+        third.add_node(c, "thing", c)
+    batch = third.snapshot().orderBy("hash")
+    assert store.merge_sync_payload(batch) == 3 and store.merge_sync_payload(batch) == 0
+    from pyspark.sql import functions as F
+
+    with pytest.raises(ValueError):
+        fresh.merge_sync_payload(third.snapshot().withColumn("label", F.lit("forged")))
+    with pytest.raises(ValueError):
+        sync.admitted(fresh.log, batch, max_entries=2)
+
+
+def test_snapshot_clock_and_revalidation(spark):
+    late = entries(spark, [node((9_000_000_000_000, 7, "z"), "n", name="old")])
+    store = GraphStore.from_snapshot(spark, "two", late.df)
+    assert store.clock.as_tuple() >= (9_000_000_000_000, 7)
+    store.update_property("n", "name", "new")
+    assert Query(store.graph()).nodes("thing").first()["properties"] == {"name": "new"}
+    one = GraphStore(spark, "one", SCHEMA)
+    batch = spark.createDataFrame([("add_node", "v", "vm", "V")], "op string, node_id string, node_type string, label string")
+    one.append_ops(batch)
+    assert one.get_quarantined().count() == 1 and one.revalidate() == 0
+    one.extend_ontology({"node_types": {"vm": {}}})
+    assert one.revalidate() == 1 and one.get_quarantined().count() == 0 and ids(one.graph().all_nodes().select("node_id")) == ["v"]
+
+
+def test_reopening_needs_every_parent(spark, tmp_path):
+    store = GraphStore(spark, "one", SCHEMA)
+    for c in "abc":
+        store.add_node(c, "thing", c)
+    store.snapshot().where("label != 'b' or label is null").write.parquet(str(tmp_path / "torn"))
+    with pytest.raises(ValueError):
+        GraphStore.open(spark, str(tmp_path / "torn"))
