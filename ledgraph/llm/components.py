@@ -1,9 +1,11 @@
 """Connected components by alternating star contraction, on DataFrames.
 
 Links become stars around the smallest node in a few rounds.  Every step is a
-minimum per node (combined before the shuffle) and an equi-join on the node, so
-no neighbourhood is gathered in one place.  Each round is written to the shared
-folder, and the rounds end when the links no longer change.
+minimum per node (combined before the shuffle) and an equi-join on the node, with
+the links of very large stars dealt to several tasks, so no neighbourhood is
+gathered in one place.  Each round is written to the shared folder, and the rounds
+end when the links no longer change; their number grows with the logarithm of the
+longest chain, so more than ``ROUNDS`` are an error.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import hot_join, written
 
 ROUNDS = 60
 
@@ -19,8 +21,9 @@ ROUNDS = 60
 def _large_star(links: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is linked to the smallest node around it."""
     both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    # the centre of a star may have a large part of all links
+    least = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"), "least")
+    return hot_join(both, least, ["u"], ["v"]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
