@@ -74,8 +74,8 @@ class Graph:
         return traverse.reach(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type).select("node_id", "depth")
 
     def dfs(self, start: str, max_depth: int | None = None, edge_type: str | None = None) -> DataFrame:
-        """The set that a depth-first walk visits, with the depth of the shortest way; no order scales."""
-        return self.bfs(start, max_depth, edge_type)
+        """(node_id, depth, number) in the order of a depth-first walk; with ``max_depth`` a walk may miss what ``bfs`` finds."""
+        return traverse.depth_first(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type)
 
     def shortest_path(self, start: str, end: str) -> list[str] | None:
         return traverse.shortest_path(self.nodes, self.edges.where("live"), start, end)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered
+from ..functions.schema import OBSERVATIONS
+
 MAX_SOURCE_BYTES = 65_535
 
 
@@ -25,6 +30,18 @@ class ObservationLog:
     def df(self) -> DataFrame:
         return self._df.select("source", "timestamp_ms", "value", "metadata")
 
+    def append(self, source: str, value: float, metadata: dict[str, str] | None = None, now_ms: int | None = None) -> ObservationLog:
+        """One observation at this moment; of the same millisecond the last one counts."""
+        if len(source.encode()) > MAX_SOURCE_BYTES:
+            raise ValueError("source is too long")
+        at = int(time.time() * 1000) if now_ms is None else now_ms
+        return self.append_batch(self._df.sparkSession.createDataFrame([(source, at, float(value), metadata or {})], OBSERVATIONS))
+
+    def append_values(self, rows: DataFrame, base_ms: int, order: list[str]) -> ObservationLog:
+        """Rows (source, value, metadata) in the given order, each a millisecond after the one before."""
+        placed, _ = numbered(rows, order, "_n")
+        return self.append_batch(placed.withColumn("timestamp_ms", F.lit(base_ms).cast("long") + F.col("_n")).drop("_n"))
+
     def append_batch(self, rows: DataFrame) -> ObservationLog:
         """Rows (source, timestamp_ms, value, metadata) on top of what is there; too long sources are an error."""
         ok = F.when(F.octet_length("source") <= MAX_SOURCE_BYTES, F.col("source")).otherwise(F.raise_error(F.lit("source is too long")))

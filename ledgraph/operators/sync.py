@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.clock import HybridClock
+from ..functions.clock import HybridClock, clock
+from ..functions.numbering import numbered
 from ..functions.schema import ENTRY_NAMES
 from ..functions.scratch import written
 from . import traverse
@@ -99,15 +100,15 @@ def filtered_missing(log: OpLog, remote: SyncOffer, node_types: list[str]) -> Da
     return lacking.join(closure, "hash", "left_semi").orderBy("physical_ms", "logical", F.desc("clock_id"), "hash")
 
 
-def admitted(log: OpLog, incoming: DataFrame, *, instance_id: str | None = None, now_ms: int | None = None, max_entries: int = MAX_ENTRIES) -> DataFrame:
+def admitted(log: OpLog, incoming: DataFrame, *, instance_id: str | None = None, now_ms: int | None = None, max_entries: int | None = MAX_ENTRIES) -> DataFrame:
     """The incoming entries that are new and pass the gates, as a written table.
 
     Refused are another replica's checkpoints (unless the log holds no more than its genesis, which they
     can't replace unseen) and entries, schemas apart, dated more than ``MAX_DRIFT_MS`` after ``now_ms``.
     Entries whose hash doesn't fit, parents that neither side has and messages of more than
-    ``max_entries`` are errors.
+    ``max_entries`` (None: of any size) are errors.
     """
-    if incoming.limit(max_entries + 1).count() > max_entries:
+    if max_entries is not None and incoming.limit(max_entries + 1).count() > max_entries:
         raise ValueError(f"a message has at most {max_entries} entries")
     fresh = incoming.select(*ENTRY_NAMES).dropDuplicates(["hash"]).join(log.df.select("hash"), "hash", "left_anti").select(*ENTRY_NAMES)
     if log.df.limit(2).count() > 1:
@@ -125,6 +126,12 @@ def admitted(log: OpLog, incoming: DataFrame, *, instance_id: str | None = None,
     return fresh
 
 
+def messages(payload: DataFrame, max_entries: int = MAX_ENTRIES) -> DataFrame:
+    """The payload in clock order, with the number of the message that each entry goes in."""
+    rows, _ = numbered(payload.withColumn("_clock", clock()), ["_clock", "hash"], "_n")
+    return rows.withColumn("message", F.floor(F.col("_n") / max_entries)).drop("_n", "_clock")
+
+
 def merge(log: OpLog, incoming: DataFrame, **gates) -> tuple[OpLog, int]:
     """The log with the admitted entries, in whatever order they came, and how many were new."""
     fresh = admitted(log, incoming, **gates)

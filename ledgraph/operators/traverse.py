@@ -8,6 +8,7 @@ the driver.  Shallow, fixed shapes (typed chains) are single plans of joins.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +44,36 @@ def reach(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | No
     return seen
 
 
+def depth_first(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | None = None, edge_type: str | None = None) -> DataFrame:
+    """(node_id, depth, number) of a depth-first walk; of siblings the greatest id goes first, nodes are taken when they are pushed.
+
+    The walk is sequential by definition: what ``reach`` finds is gathered as pairs of ids in one task.
+    Ask ``reach`` for the set alone.
+    """
+    found = written(reach(nodes, edges, start, max_depth=max_depth, edge_type=edge_type).select("node_id"), "reached")
+    arcs = _arcs(edges, "out", edge_type).join(found.select(F.col("node_id").alias("from")), "from", "left_semi").join(found.select(F.col("node_id").alias("to")), "to", "left_semi")
+    rows = arcs.select("from", "to").unionByName(found.where(F.col("node_id") == start).select(F.lit(None).cast("string").alias("from"), F.col("node_id").alias("to")))
+
+    def walk(pairs: pd.DataFrame) -> pd.DataFrame:
+        targets: dict[str, list[str]] = {}
+        for a, b in zip(pairs["from"], pairs["to"], strict=True):
+            if a is not None:
+                targets.setdefault(a, []).append(b)
+        seen, stack, out = {start}, [(start, 0)], []
+        while stack:
+            at, depth = stack.pop()
+            out.append((at, depth))
+            if max_depth is not None and depth >= max_depth:
+                continue
+            for b in sorted(targets.get(at, ())):
+                if b not in seen:
+                    seen.add(b)
+                    stack.append((b, depth + 1))
+        return pd.DataFrame({"node_id": [x for x, _ in out], "depth": [d for _, d in out], "number": range(len(out))})
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(walk, "node_id string, depth int, number long")
+
+
 def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> list[str] | None:
     """Node ids of a shortest directed path, or None; of equal ones that with the smallest parents, walked back from the end."""
     found = reach(nodes, edges, start, until=end)
@@ -99,11 +130,16 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def ancestors(links: DataFrame, heads: DataFrame) -> DataFrame:
-    """(hash) of all entries that the heads reach over (hash, parent) links, heads included."""
-    seen = frontier = written(heads.select("hash").distinct(), "closure")
+    """(hash) of all entries that the heads reach over (hash, parent) links, heads included.
+
+    Links are doubled each round, so a chain takes as many rounds as its length has binary digits.
+    """
+    seen = written(heads.select("hash").distinct(), "closure")
+    jump = written(links.select("hash", "parent").distinct(), "jumps")
     while True:
-        step = frontier.join(links, "hash").select(F.col("parent").alias("hash")).distinct()
-        frontier = written(step.join(seen, "hash", "left_anti"), "closure")
-        if frontier.isEmpty():
+        # what is seen so far are the ancestors nearer than one jump
+        step = written(seen.join(jump, "hash").select(F.col("parent").alias("hash")).distinct().join(seen, "hash", "left_anti"), "closure")
+        if step.isEmpty():
             return seen
-        seen = seen.unionByName(frontier)
+        seen = written(seen.unionByName(step), "closure")
+        jump = written(jump.join(jump.select(F.col("hash").alias("parent"), F.col("parent").alias("far")), "parent").select("hash", F.col("far").alias("parent")).distinct(), "jumps")

@@ -318,14 +318,6 @@ def resurrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.nodes.where("live").select("node_id").join(removed, "node_id", "left_semi")
 
 
-@query(f"WITH {_replayed()} SELECT props.id AS node_id, key, v FROM props JOIN state USING (id) WHERE live")
-def replay_causal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same graph in the order of the DAG, checked where both orders agree: with the clocks' order as its positions."""
-    log = event_log(spark, sf_dir)
-    positions = log.df.select("hash", (F.struct("physical_ms", "logical")).alias("pos"))
-    return _flat(log.materialize(order="causal", positions=positions).nodes)
-
-
 # edges of the log: every update also adds an edge between its user and the user of the same number plus one
 _EDGE_LOG = """adds AS (SELECT DISTINCT CAST(substr(id, 3) AS BIGINT) AS u FROM log WHERE event_type = 'signup'),
  ids AS (SELECT DISTINCT CAST(substr(id, 3) AS BIGINT) AS u FROM log),
@@ -360,18 +352,6 @@ def quarantine_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _count(_with_edges(spark, sf_dir).materialize().quarantine, "reason")
 
 
-@query(f"WITH {LOG}, {_EDGE_LOG} SELECT count(*) AS n FROM wanted WHERE u % 10 = 0 AND u IN (SELECT u FROM adds) AND u + 1 IN (SELECT u FROM adds)")
-def revalidate_freed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an extension of the schema frees from quarantine."""
-    from ..operators.oplog import with_hash
-
-    log = _with_edges(spark, sf_dir)
-    extension = '{"edge_types":{"LIKES":{"source_types":["user"],"target_types":["user"]}}}'
-    more = spark.range(1).select(F.lit("a0").alias("author"), F.lit("a0").alias("clock_id"), F.lit(2).cast("long").alias("physical_ms"), F.lit(0).alias("logical"), F.lit("extend_ontology").alias("op"), F.lit(extension).alias("schema_json"))
-    after = OpLog(log.df.unionByName(with_hash(more))).materialize().quarantine.select("hash")
-    return _count(log.materialize().quarantine.select("hash").join(after, "hash", "left_anti"))
-
-
 # -- validation -------------------------------------------------------------
 
 
@@ -450,24 +430,6 @@ def entries_affecting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_log(spark, sf_dir).entries_affecting("u:5").select("author", "physical_ms", "logical", "op")
 
 
-@query(f"WITH {LOG} SELECT author, count(*) AS n FROM log WHERE author != 'a1' GROUP BY author")
-def entries_since(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the head of one author's chain has not seen: the other chains."""
-    log = event_log(spark, sf_dir)
-    # the closure over a chain is as deep as the chain; over one author's chain it is the chain itself
-    head = log.df.join(log.heads(), "hash", "left_semi").where("author = 'a1'").select("hash")
-    seen = log.df.where("author = 'a1' or op = 'define_ontology'").select("hash")
-    assert head.count() == 1
-    return _count(log.df.join(seen, "hash", "left_anti"), "author")
-
-
-@query("SELECT count(*) AS entries, CAST(0 AS BIGINT) AS orphans FROM (SELECT event_id FROM events UNION ALL SELECT -1)")
-def integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = event_log(spark, sf_dir)
-    orphans = log.links.join(log.df.select(F.col("hash").alias("parent")), "parent", "left_anti").agg(F.count("*").alias("orphans"))
-    return log.df.agg(F.count("*").alias("entries")).join(orphans)
-
-
 # -- replication ------------------------------------------------------------
 
 
@@ -494,12 +456,6 @@ def sync_need(spark: SparkSession, sf_dir: str) -> DataFrame:
     return right.df.join(wanted, "hash", "left_semi").select("author", "physical_ms")
 
 
-@query(f"WITH {LOG} SELECT author, count(*) AS n FROM (SELECT author FROM log UNION ALL SELECT 'a0') GROUP BY author")
-def merge_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    left, right = _replicas(spark, sf_dir)
-    return _count(left.merged(right.df).merged(right.df).merged(left.df).df, "author")
-
-
 @query(f"WITH {_replayed()} SELECT props.id AS node_id, key, v FROM props JOIN state USING (id) WHERE live")
 def checkpoint_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph after compaction is the graph before it."""

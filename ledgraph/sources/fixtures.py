@@ -7,11 +7,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.schema import ENTRY_NAMES, layout
 from ..functions.values import PROPERTIES, of_column
 from ..operators.graph import Graph
 from ..operators.obslog import ObservationLog
 from ..operators.ontology import Ontology
-from ..operators.oplog import OpLog, with_hash
+from ..operators.oplog import OpLog, hash_of, with_hash
 
 STAR = Ontology(
     {
@@ -37,6 +38,9 @@ STAR = Ontology(
 USERS = Ontology({"node_types": {"user": {"properties": {"value": {"value_type": "float", "required": True}, "k": "int"}}}, "edge_types": {"NEXT": {"source_types": ["user"], "target_types": ["user"]}}})
 
 
+VIP = USERS.extended({"node_types": {"vip": {"properties": {"value": {"value_type": "float"}, "k": "int"}}}})
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -92,41 +96,75 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.withColumn("physical_ms", ms).withColumn("logical", (F.row_number().over(W.partitionBy("physical_ms").orderBy("event_id")) - 1).cast("int")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
-def event_log(spark: SparkSession, sf_dir: str) -> OpLog:
-    """Events as operations of four authors on users; each entry's parent is its author's one before.
-
-    Entry names are digests of event ids: a chain of content digests could only be made one after another.
-    """
-    from pyspark.sql import Window as W
-
-    df = _events(spark, sf_dir).withColumn("author", F.concat(F.lit("a"), (F.col("event_id") % 4).cast("string"))).withColumn("hash", F.sha2(F.col("event_id").cast("string"), 256))
-    before = F.lag("hash").over(W.partitionBy("author").orderBy("physical_ms", "logical"))
+def _operations(spark: SparkSession, sf_dir: str, vip: bool = False) -> DataFrame:
+    """Events as operations of four authors on users, without names and parents; with ``vip``, every tenth user is of that type."""
+    df = _events(spark, sf_dir).withColumn("author", F.concat(F.lit("a"), (F.col("event_id") % 4).cast("string")))
     user = _key("u", "user_id")
     signup, error = F.col("event_type") == "signup", F.col("event_type") == "error"
     update = ~signup & ~error
-    genesis_hash = F.sha2(F.lit("genesis"), 256)
-    rows = df.select(
-        "hash",
+    kind = F.when(F.col("user_id") % 10 == 0, "vip").otherwise("user") if vip else F.lit("user")
+    return df.select(
+        "event_id",
         "author",
         F.col("author").alias("clock_id"),
         "physical_ms",
         "logical",
-        F.array(F.coalesce(before, genesis_hash)).alias("next"),
         F.when(signup, "add_node").when(error, "remove_node").otherwise("update_property").alias("op"),
         F.when(~update, user).alias("node_id"),
-        F.when(signup, "user").alias("node_type"),
+        F.when(signup, kind).alias("node_type"),
         F.when(signup, user).alias("label"),
         F.when(signup, _props(value=("value", "float"), k=("k", "int"))).alias("properties"),
         F.when(update, user).alias("entity_id"),
         F.when(update, F.col("event_type")).alias("key"),
         F.when(update, of_column(F.col("value"), "float")).alias("value"),
     )
+
+
+def event_log(spark: SparkSession, sf_dir: str) -> OpLog:
+    """The events as a log; each entry's parent is its author's one before.
+
+    Entry names are digests of event ids: a chain of content digests could only be made one after another.
+    """
+    from pyspark.sql import Window as W
+
+    rows = _operations(spark, sf_dir).withColumn("hash", F.sha2(F.col("event_id").cast("string"), 256))
+    before = F.lag("hash").over(W.partitionBy("author").orderBy("physical_ms", "logical"))
+    genesis_hash = F.sha2(F.lit("genesis"), 256)
+    rows = rows.withColumn("next", F.array(F.coalesce(before, genesis_hash)))
     genesis = spark.range(1).select(
         genesis_hash.alias("hash"), F.lit("a0").alias("author"), F.lit("a0").alias("clock_id"), F.lit(0).cast("long").alias("physical_ms"), F.lit(0).alias("logical"), F.lit("define_ontology").alias("op"), F.lit(USERS.to_json()).alias("schema_json")
     )
     return OpLog(with_hash(rows).unionByName(with_hash(genesis)))
 
 
+DAY = 86_400_000
+
+
+def content_log(spark: SparkSession, sf_dir: str, vip: bool = False) -> OpLog:
+    """The events as a log whose entries are named by their content.
+
+    An author's first entry of a day has that of the day before as its parent, all others of the day
+    have that first one; so the log is as deep as it has days, and all but the first entries are
+    hashed in parallel.  First entries are as many as authors times days.
+    """
+    rows = _operations(spark, sf_dir, vip).drop("event_id").withColumn("day", F.floor(F.col("physical_ms") / DAY))
+    heads = rows.groupBy("author", "day").agg(F.min(F.struct("physical_ms", "logical")).alias("at"))
+    heads = F.broadcast(heads.select("author", "day", "at.physical_ms", "at.logical"))
+    on = ["author", "day", "physical_ms", "logical"]
+    schema = VIP if vip else USERS
+    genesis = dict.fromkeys(ENTRY_NAMES) | {"author": "a0", "clock_id": "a0", "physical_ms": 0, "logical": 0, "next": [], "op": "define_ontology", "schema_json": schema.to_json()}
+    genesis["hash"] = hash_of(genesis)
+    first, last, names = [genesis], {}, []
+    for r in sorted((r.asDict(recursive=True) for r in rows.join(heads, on, "left_semi").collect()), key=lambda r: (r["author"], r["day"])):
+        entry = dict.fromkeys(ENTRY_NAMES) | {k: v for k, v in r.items() if k != "day"} | {"next": [last.get(r["author"], genesis["hash"])]}
+        entry["hash"] = last[r["author"]] = hash_of(entry)
+        first.append(entry)
+        names.append((r["author"], r["day"], entry["hash"]))
+    parents = F.broadcast(spark.createDataFrame(names, "author string, day long, parent string"))
+    others = rows.join(heads, on, "left_anti").join(parents, ["author", "day"]).withColumn("next", F.array("parent"))
+    return OpLog(with_hash(others).unionByName(spark.createDataFrame([tuple(e[c] for c in layout().names) for e in first], layout()).select(*ENTRY_NAMES)))
+
+
 def observations(spark: SparkSession, sf_dir: str) -> ObservationLog:
     df = _events(spark, sf_dir)
     return ObservationLog(df.select(F.col("event_type").alias("source"), F.col("physical_ms").alias("timestamp_ms"), "value", F.create_map(F.lit("user"), F.col("user_id").cast("string"), F.lit("k"), F.col("k").cast("string")).alias("metadata"), F.col("event_id").alias("seq")))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.clock import HybridClock
+from ..functions.numbering import numbered
 from ..functions.schema import ENTRY_NAMES, layout
 from ..functions.scratch import written
 from ..functions.values import encode, encode_all
@@ -48,6 +49,7 @@ class GraphStore:
         self._known: dict[str, dict | None] = {}
         self._waiting: dict[str, list[dict]] = {}
         self._base_graph: Graph | None = None
+        self._complete: bool | None = None
         self._schema: Ontology | None = None
         self.spark, self.instance_id, self.path = spark, instance_id, path
         self._pending: list[dict] = []
@@ -104,7 +106,7 @@ class GraphStore:
 
     def _settle(self) -> None:
         """Heads and clock from the stored entries; what was derived from others goes."""
-        self._known, self._waiting, self._base_graph, self._schema, self._materialized = {}, {}, None, None, None
+        self._known, self._waiting, self._base_graph, self._complete, self._schema, self._materialized = {}, {}, None, None, None, None
         self._heads = [r["hash"] for r in self.log.heads().collect()]
         last = self._stored.agg(F.max(F.struct("physical_ms", "logical"))).first()[0]
         self.clock = self.clock.merge(HybridClock("", last[0], last[1]))
@@ -136,7 +138,9 @@ class GraphStore:
 
     def _touch(self, id_: str, change: dict) -> None:
         """Keep what is remembered of an id up with a write."""
-        if id_ in self._known or self._stored is None:
+        if len(self._known) > 2 * LOOKUPS:
+            self._forget()
+        if id_ in self._known or self._stored is None or self._complete:
             self._known[id_] = _changed(self._known.get(id_), change)
         else:
             self._waiting.setdefault(id_, []).append(change)
@@ -144,10 +148,10 @@ class GraphStore:
     def _look_up(self, *ids: str) -> list[dict | None]:
         """What lives under each id: a node's type and subtype, or an edge's type; else None.
 
-        The stored entries are asked once for an id; waiting ones come on top.
+        The stored entries are asked once for an id, or, if they are few, once for all; waiting ones come on top.
         """
         unknown = [i for i in dict.fromkeys(ids) if i not in self._known]
-        if unknown:
+        if unknown and not self._complete:
             if len(self._known) > LOOKUPS:
                 self._forget()
                 unknown = list(dict.fromkeys(ids))
@@ -156,21 +160,27 @@ class GraphStore:
                 if self._base_graph is None:
                     self._base_graph = OpLog(self._visible(self._stored)).graph(self._base)
                 g = self._base_graph
-                for r in g.edges.where(F.col("edge_id").isin(unknown)).select("edge_id", "edge_type", "live").collect():
+                # an entry adds one id at most, so few entries have few ids
+                if self._complete is None:
+                    self._complete = self._stored.where("op != 'checkpoint'").limit(LOOKUPS // 2 + 1).count() <= LOOKUPS // 2 and self._stored.where("op = 'checkpoint'").isEmpty()
+                edges, nodes = (df if self._complete else df.where(F.col(c).isin(unknown)) for df, c in ((g.edges, "edge_id"), (g.nodes, "node_id")))
+                for r in edges.select("edge_id", "edge_type", "live").collect():
                     found[r[0]] = r.asDict()
-                for r in g.nodes.where(F.col("node_id").isin(unknown)).select("node_id", "node_type", "subtype", "live").collect():
+                for r in nodes.select("node_id", "node_type", "subtype", "live").collect():
                     found[r[0]] = r.asDict()
+            if self._complete:
+                unknown = list(dict.fromkeys([*unknown, *self._waiting, *(i for i in found if i not in self._known)]))
             for i in unknown:
                 state = found.get(i)
                 for change in self._waiting.pop(i, ()):
                     state = _changed(state, change)
                 self._known[i] = state
-        return [x if (x := self._known[i]) is not None and x["live"] else None for i in ids]
+        return [x if (x := self._known.get(i)) is not None and x["live"] else None for i in ids]
 
     def _forget(self) -> None:
         """Drop what is remembered of ids; waiting writes are stored first, so that nothing is lost."""
         self.flush()
-        self._known, self._waiting, self._base_graph = {}, {}, None
+        self._known, self._waiting, self._base_graph, self._complete = {}, {}, None, None
 
     def add_node(self, node_id: str, node_type: str, label: str, properties: Mapping | None = None, subtype: str | None = None) -> str:
         props = encode_all(properties)
@@ -229,17 +239,10 @@ class GraphStore:
         self.clock = self.clock.tick()
         self.flush()
         order = [c for c in ("seq", "node_id", "edge_id", "entity_id", "key") if c in operations.columns]
-        placed = written(operations.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "operations")
-        counts = placed.groupBy(F.shiftright("_at", 33).alias("_task")).agg(F.count("*").alias("n")).collect()
-        before, n = {}, 0
-        for r in sorted(counts, key=lambda r: r["_task"]):
-            before[r["_task"]], n = n, n + r["n"]
+        rows, n = numbered(operations, order, "_n")
         if not n:
             return 0
-        starts = self.spark.createDataFrame(list(before.items()), "_task long, _before long")
-        rows = placed.withColumn("_task", F.shiftright("_at", 33)).join(F.broadcast(starts), "_task")
-        number = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1
-        rows = rows.withColumn("logical", (number + self.clock.logical).cast("int")).drop("seq", "_at", "_task", "_before")
+        rows = rows.withColumn("logical", (F.col("_n") + self.clock.logical + 1).cast("int")).drop("seq", "_n")
         rows = rows.withColumn("physical_ms", F.lit(self.clock.physical_ms)).withColumn("author", F.lit(self.instance_id)).withColumn("clock_id", F.lit(self.instance_id)).withColumn("next", F.array(*(F.lit(h) for h in self._heads)))
         entries = with_hash(rows)
         if self.path:
@@ -248,7 +251,7 @@ class GraphStore:
             entries = written(entries, "entries")
             self._stored = entries if self._stored is None else self._stored.unionByName(entries)
         self.clock = HybridClock(self.instance_id, self.clock.physical_ms, self.clock.logical + n + 1)
-        self._known, self._base_graph, self._materialized = {}, None, None
+        self._known, self._base_graph, self._complete, self._materialized = {}, None, None, None
         self._heads = [r["hash"] for r in self.log.heads().collect()]
         return n
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from ..functions.clock import clock
 from ..functions.schema import OPLOG
 from ..operators.oplog import OpLog
 
+POLL_S = 0.2
 EVENT = ["hash", "author", "physical_ms", "logical", "op", "node_id", "node_type", "subtype", "label", "edge_id", "edge_type", "source_id", "target_id", "entity_id", "key", "value", "properties"]
 
 
@@ -60,13 +62,23 @@ class TailSubscription:
         self._place: tuple | None = None
         self._closed = False
 
-    def next_batch(self, max_count: int = 1000) -> list[dict]:
+    def next_batch(self, max_count: int = 1000, timeout_ms: int = 0) -> list[dict]:
+        """Up to so many entries; if there is none, wait for the timeout.  A cursor that compaction has removed is an error."""
         if max_count < 1:
             raise ValueError("max_count is at least 1")
+        until = time.monotonic() + timeout_ms / 1000
+        while not (got := self._pull(max_count)) and time.monotonic() < until:
+            time.sleep(min(POLL_S, max(0.0, until - time.monotonic())))
+        return got
+
+    def _pull(self, max_count: int) -> list[dict]:
         if self._closed:
             raise RuntimeError("the subscription is closed")
         if self._frozen is None:
-            self._frozen = self._log()
+            log = self._log()
+            if self._cursor and not log.heads_known(self._cursor):
+                raise ValueError("the cursor is stale")
+            self._frozen = log
         rows = self._frozen.entries_since(self._cursor).withColumn("_at", clock())
         if self._place is not None:
             physical, logical, id_, hash_ = self._place
