@@ -71,20 +71,20 @@ class Graph:
     # -- traversals ---------------------------------------------------------
 
     def bfs(self, start: str, max_depth: int | None = None, edge_type: str | None = None) -> DataFrame:
-        return traverse.reach(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type).select("node_id", "depth")
+        return traverse.reach(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type, schema=self.ontology).select("node_id", "depth")
 
     def dfs(self, start: str, max_depth: int | None = None, edge_type: str | None = None) -> DataFrame:
         """(node_id, depth, number) in the order of a depth-first walk; with ``max_depth`` a walk may miss what ``bfs`` finds."""
-        return traverse.depth_first(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type)
+        return traverse.depth_first(self.nodes, self.edges.where("live"), start, max_depth=max_depth, edge_type=edge_type, schema=self.ontology)
 
     def shortest_path(self, start: str, end: str) -> list[str] | None:
-        return traverse.shortest_path(self.nodes, self.edges.where("live"), start, end)
+        return traverse.shortest_path(self.nodes, self.edges.where("live"), start, end, self.ontology)
 
     def impact_analysis(self, node_id: str, max_depth: int | None = None) -> DataFrame:
-        return traverse.reach(self.nodes, self.edges.where("live"), node_id, max_depth=max_depth, direction="in").select("node_id", "depth")
+        return traverse.reach(self.nodes, self.edges.where("live"), node_id, max_depth=max_depth, direction="in", schema=self.ontology).select("node_id", "depth")
 
     def subgraph(self, start: str, hops: int) -> tuple[DataFrame, DataFrame]:
-        return traverse.subgraph(self.nodes, self.all_edges(), start, hops)
+        return traverse.subgraph(self.nodes, self.edges.where("live"), start, hops, self.ontology)
 
     def pattern_match(self, types: list[str], max_results: int | None = 1000) -> DataFrame:
         """Chains of the types: the first one with its descendants, the others exactly."""

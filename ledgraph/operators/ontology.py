@@ -122,6 +122,16 @@ class Ontology:
         """The type and its descendants; empty for an unknown type."""
         return sorted([name, *self.descendants(name)]) if name in self.node_types else []
 
+    def edge_types_at(self, node_types: Iterable[str], direction: str = "out") -> list[str]:
+        """Edge types that may start ("out"), end ("in") or do either ("both") at nodes of these types."""
+        kinds, sides = set(node_types), {"out": ("source_types",), "in": ("target_types",)}.get(direction, ("source_types", "target_types"))
+        return [e for e, spec in self.edge_types.items() if any(not kinds.isdisjoint(self.family(t)) for side in sides for t in spec[side])]
+
+    def node_types_at(self, edge_types: Iterable[str], direction: str = "out") -> list[str]:
+        """Node types that these edge types may lead to."""
+        sides = {"out": ("target_types",), "in": ("source_types",)}.get(direction, ("source_types", "target_types"))
+        return sorted({f for e in edge_types for side in sides for t in self.edge_types[e][side] for f in self.family(t)})
+
     def effective_properties(self, name: str) -> dict[str, dict]:
         out: dict[str, dict] = {}
         for t in [*reversed(self.ancestors(name)), name]:

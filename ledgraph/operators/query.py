@@ -92,14 +92,19 @@ class Query:
         edges = self.graph.edges.where("live")
         if edge_type:
             edges = edges.where(F.col("edge_type") == edge_type)
+        # the schema says where edges lead: a literal list, which prunes scans of other types
+        schema = self.graph.ontology
+        kinds = [edge_type] if edge_type else list(schema.edge_types)
+        if all(k in schema.edge_types for k in kinds):
+            live = live.where(F.col("node_type").isin(schema.node_types_at(kinds, direction)))
         ids = df.select("node_id")
         ends = [("source_id", "target_id")] * (direction != "in") + [("target_id", "source_id")] * (direction != "out")
         reached: DataFrame | None = None
         for near, far in ends:
             step = edges.join(ids.withColumnRenamed("node_id", near), near, "left_semi").select(F.col(far).alias("node_id"))
             reached = step if reached is None else reached.unionByName(step)
-        # a semi-join: each neighbour once
-        return self._with(live.join(reached, "node_id", "left_semi"), "node")
+        # distinct ids are few where many edges lead to few nodes; a semi-join takes each neighbour once
+        return self._with(live.join(reached.distinct(), "node_id", "left_semi"), "node")
 
     def limit(self, n: int) -> Query:
         """The n smallest by id."""

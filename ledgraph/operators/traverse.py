@@ -2,7 +2,7 @@
 
 Each hop is a join of the frontier with the edges and an anti-join with what has
 been visited; what a hop adds is written to the shared folder, so lineage stays
-short.  Frontiers and visited sets are DataFrames throughout; only counts come to
+short and the planner knows the frontier's size.  Frontiers and visited sets are DataFrames throughout; only counts come to
 the driver.  Shallow, fixed shapes (typed chains) are single plans of joins.
 """
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import written
+from .ontology import Ontology
 
 
 def _arcs(edges: DataFrame, direction: str, edge_type: str | None) -> DataFrame:
@@ -20,39 +21,58 @@ def _arcs(edges: DataFrame, direction: str, edge_type: str | None) -> DataFrame:
         edges = edges.where(F.col("edge_type") == edge_type)
     out = edges.select(F.col("source_id").alias("from"), F.col("target_id").alias("to"))
     back = edges.select(F.col("target_id").alias("from"), F.col("source_id").alias("to"))
-    return {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    return {"out": out, "in": back, "both": out.unionByName(back)}[direction]
 
 
-def reach(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | None = None, edge_type: str | None = None, direction: str = "out", until: str | None = None) -> DataFrame:
-    """(node_id, depth, parent) of all live nodes within reach; empty if the start is missing.  Ties of parents: the smallest."""
-    alive = nodes.where("live").select("node_id")
-    arcs = _arcs(edges, direction, edge_type)
-    first = alive.where(F.col("node_id") == start).select("node_id", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
+LAZY_HOPS = 4
+"""Hops that read the edges where they are; longer walks write what is left of them once."""
+
+
+def reach(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | None = None, edge_type: str | None = None, direction: str = "out", until: str | None = None, schema: Ontology | None = None) -> DataFrame:
+    """(node_id, depth, parent) of all live nodes within reach; empty if the start is missing.  Ties of parents: the smallest.
+
+    A hop joins the frontier with the edges, and only what it reaches with the nodes.  With a schema, the
+    frontier's types tell which edge and node types a hop can meet, as literal lists that prune the scans.
+    """
+    alive = nodes.where("live").select("node_id", "node_type")
+    first = alive.where(F.col("node_id") == start).select("node_id", "node_type", F.lit(0).alias("depth"), F.lit(None).cast("string").alias("parent"))
     seen = frontier = written(first, "frontier")
     depth = 0
     while max_depth is None or depth < max_depth:
         depth += 1
-        if depth == 1:
-            arcs = written(arcs.join(alive.select(F.col("node_id").alias("to")), "to", "left_semi"), "arcs")
-        step = frontier.select(F.col("node_id").alias("from")).join(arcs, "from").groupBy(F.col("to").alias("node_id")).agg(F.min("from").alias("parent"))
-        frontier = written(step.join(seen, "node_id", "left_anti").select("node_id", F.lit(depth).alias("depth"), "parent"), "frontier")
+        some, targets = edges, alive
+        if schema is not None:
+            kinds = [r[0] for r in frontier.select("node_type").distinct().collect()]  # no more than the schema has
+            known = schema.edge_types_at(kinds, direction) if all(k in schema.node_types for k in kinds) else list(schema.edge_types)
+            known = [k for k in known if edge_type in (None, k)]
+            if not known:
+                break
+            if len(known) < len(schema.edge_types):
+                some = edges.where(F.col("edge_type").isin(known))
+            targets = alive.where(F.col("node_type").isin(schema.node_types_at(known, direction)))
+        if depth == LAZY_HOPS + 1:
+            edges = some = written(edges.select("edge_type", "source_id", "target_id") if edge_type is None else edges.where(F.col("edge_type") == edge_type).select("edge_type", "source_id", "target_id"), "arcs")
+        arcs = _arcs(some, direction, edge_type)
+        step = arcs.join(frontier.select(F.col("node_id").alias("from")), "from").groupBy(F.col("to").alias("node_id")).agg(F.min("from").alias("parent"))
+        step = written(step.join(seen.select("node_id"), "node_id", "left_anti"), "step")
+        frontier = written(targets.join(step, "node_id").select("node_id", "node_type", F.lit(depth).alias("depth"), "parent"), "frontier")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
         if until is not None and not frontier.where(F.col("node_id") == until).isEmpty():
             break
-    return seen
+    return seen.select("node_id", "depth", "parent")
 
 
-def depth_first(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | None = None, edge_type: str | None = None) -> DataFrame:
+def depth_first(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: int | None = None, edge_type: str | None = None, schema: Ontology | None = None) -> DataFrame:
     """(node_id, depth, number) of a depth-first walk; of siblings the greatest id goes first, nodes are taken when they are pushed.
 
     The walk is sequential by definition: what ``reach`` finds is gathered as pairs of ids in one task.
     Ask ``reach`` for the set alone.
     """
-    found = written(reach(nodes, edges, start, max_depth=max_depth, edge_type=edge_type).select("node_id"), "reached")
+    found = written(reach(nodes, edges, start, max_depth=max_depth, edge_type=edge_type, schema=schema).select("node_id"), "reached")
     arcs = _arcs(edges, "out", edge_type).join(found.select(F.col("node_id").alias("from")), "from", "left_semi").join(found.select(F.col("node_id").alias("to")), "to", "left_semi")
-    rows = arcs.select("from", "to").unionByName(found.where(F.col("node_id") == start).select(F.lit(None).cast("string").alias("from"), F.col("node_id").alias("to")))
+    rows = arcs.select("from", "to").distinct().unionByName(found.where(F.col("node_id") == start).select(F.lit(None).cast("string").alias("from"), F.col("node_id").alias("to")))
 
     def walk(pairs: pd.DataFrame) -> pd.DataFrame:
         targets: dict[str, list[str]] = {}
@@ -74,9 +94,9 @@ def depth_first(nodes: DataFrame, edges: DataFrame, start: str, *, max_depth: in
     return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(walk, "node_id string, depth int, number long")
 
 
-def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> list[str] | None:
+def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str, schema: Ontology | None = None) -> list[str] | None:
     """Node ids of a shortest directed path, or None; of equal ones that with the smallest parents, walked back from the end."""
-    found = reach(nodes, edges, start, until=end)
+    found = reach(nodes, edges, start, until=end, schema=schema)
     if start == end:
         return [start] if not found.isEmpty() else None
     at = found.where(F.col("node_id") == end).first()
@@ -89,11 +109,14 @@ def shortest_path(nodes: DataFrame, edges: DataFrame, start: str, end: str) -> l
     return path[::-1]
 
 
-def subgraph(nodes: DataFrame, edges: DataFrame, start: str, hops: int) -> tuple[DataFrame, DataFrame]:
+def subgraph(nodes: DataFrame, edges: DataFrame, start: str, hops: int, schema: Ontology | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes within ``hops`` in either direction, and the edges that touch a node nearer than ``hops``."""
-    found = reach(nodes, edges, start, max_depth=hops, direction="both")
+    found = reach(nodes, edges, start, max_depth=hops, direction="both", schema=schema)
     inner = found.where(F.col("depth") < hops).select("node_id")
-    touched = edges.join(inner.withColumnRenamed("node_id", "source_id"), "source_id", "left_semi").unionByName(edges.join(inner.withColumnRenamed("node_id", "target_id"), "target_id", "left_semi").select(edges.columns))
+    # both ends of such an edge are within reach, if they live
+    ends = found.select("node_id")
+    touched = [edges.join(inner.withColumnRenamed("node_id", near), near, "left_semi").join(ends.withColumnRenamed("node_id", far), far, "left_semi").select(edges.columns) for near, far in (("source_id", "target_id"), ("target_id", "source_id"))]
+    touched = touched[0].unionByName(touched[1])
     return found.select("node_id", "depth"), touched.dropDuplicates(["edge_id"])
 
 

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scratch import written
 from ..functions.values import prop
 from ..operators import compact, sync
 from ..operators.ontology import Ontology
@@ -293,9 +294,14 @@ def _flat(nodes: DataFrame) -> DataFrame:
     return each.select("node_id", "key", F.col("value.lit").cast("double").alias("v"))
 
 
+def _stored(log: OpLog) -> OpLog:
+    """The log as a table of its own, as in a store, so that its clocks are computed once; replay by clocks needs no parents."""
+    return OpLog(written(log.df.withColumn("next", F.array().cast("array<string>")), "log"))
+
+
 @query(f"WITH {_replayed()} SELECT props.id AS node_id, key, v FROM props JOIN state USING (id) WHERE live")
 def replay_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(event_log(spark, sf_dir).materialize().nodes)
+    return _flat(_stored(event_log(spark, sf_dir)).materialize().nodes)
 
 
 @query(f"WITH {_replayed()} SELECT id AS node_id, live FROM state")
@@ -413,7 +419,7 @@ def as_of_live(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_replayed(f'WHERE ms <= {_CUT}')} SELECT props.id AS node_id, key, v FROM props JOIN state USING (id) WHERE live")
 def as_of_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _flat(event_log(spark, sf_dir).snapshot_at(_cut(spark, sf_dir), 1 << 30).nodes)
+    return _flat(_stored(event_log(spark, sf_dir)).snapshot_at(_cut(spark, sf_dir), 1 << 30).nodes)
 
 
 # -- the log ----------------------------------------------------------------

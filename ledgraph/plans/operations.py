@@ -583,7 +583,7 @@ def message_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     left, right = _halves(spark, sf_dir)
     sent = sync.messages(sync.missing(left, sync.offer(right, HybridClock("b"))), 1000)
     sent = written(sent.select("message", "hash"), "messages")
-    return _count(sent, "message").select("message", F.lit(sent.count()).alias("n"))
+    return _count(sent, "message").select("message", F.lit(sent.count()).cast("long").alias("n"))
 
 
 @query(_values("what, outcome", ("inserted are contained", True), ("few others are", True), ("merged has both", True), ("rate must be below one", False)))
