@@ -7,82 +7,78 @@ weighted mixture of that with its children: Pw = (Pe + prod Pw(child)) / 2.
 After training, the mixture's posterior weights give one probability for each
 decision, hence for each byte in each context; -log2 of it is the code length.
 
-Context bytes are read through ``CLASSES`` classes (letters one by one, rarer
-bytes together), so the whole tree has CLASSES**DEPTH contexts whatever the
-corpus: this is the proven bound (64,000 x 256 single-precision numbers, 66 MB)
-under which the model may go to every executor.  Counts come from all training
-texts: tasks count exactly, and their counts are summed.
-
-Base: sum over tokens of log10((c+1) / (N + 1*(V+1))).  Word counts have no bound
-and are never gathered: tasks emit each distinct word of a block with its
-postings (which documents, how often), the counts join on the word's hash, and
-partial sums come back per document.  A word in all documents is one row a block.
+The tree is a table with a row for each context of ``DEPTH`` bytes and the byte
+after it that occurs in any text (its number), so it grows with the corpus and is
+never gathered:
+
+1. Tasks read their texts in blocks of ``BLOCK_BYTES``.  A block is written as its
+   packed texts and its distinct numbers and words with their training counts.
+2. Counts are summed by number and dealt by the ``LOCAL`` most recent bytes of the
+   context, so that all deeper nodes of a subtree are in one task, which mixes
+   them bottom-up.  The nodes above are 65,280 at most, whatever the corpus: they
+   are mixed on the driver and broadcast.
+3. Each number's log probability, and each word's count, is joined to the blocks
+   that have it, once a block however often it occurs there, and each block's
+   texts are scored by their block's values.
+
+Base: sum over tokens of log10((c+1) / (N + 1*(V+1))).  Words are told apart by
+64-bit hashes.
 
 Texts are lower-cased (A-Z).  A text ends with a byte that UTF-8 does not have,
-which is scored, too.
+which is scored, too; before its start stands another such byte.
 
 Edge cases.  A null text is empty: it has the end only.  A null id counts as an
 empty name in the split.  Without training texts all counts are zero: bytes cost
-8 bits and the base is zero.  Repeated rows are scored alike; an empty table gives
-an empty result.  Texts are read whole; other columns are not read.
+8 bits and the base is zero.  Repeated rows are scored alike, each on its own row;
+an empty table gives an empty result.  A very long text is a block of its own.
+Texts are read whole; other columns are not read.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import bytewords as bw
+from .common import written
 
-DEPTH = 3
-CLASSES = 40
+DEPTH = 5
+LOCAL = 2
+"""Bytes of context that subtrees are dealt by; a task has whole subtrees."""
+ROWS = 200_000
+"""Rows of the tree that a task has on average."""
 HOLD_OUT = (7, 2)
 """Modulus and remainder of crc32(id) that is held out."""
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 2 << 20
-"""Text bytes that are worked on at once; the byte codes take some 40 bytes a byte."""
-END = 0xFF
-
-
-def _classes() -> np.ndarray:
-    """Class of each byte; 0 is before the start, 39 all bytes without a class of their own."""
-    out = np.full(256, CLASSES - 1, np.int32)
-    out[97:123] = np.arange(1, 27)
-    for i, c in enumerate(" \n.,|'-!"):
-        out[ord(c)] = 27 + i
-    out[48:58] = 35
-    out[0x80:0xC0] = 36
-    out[0xC0:0xE0] = 37
-    out[0xE0:0xF8] = 38
-    return out
-
+"""Text bytes that are worked on at once; the numbers take some 40 bytes a byte."""
+START, END = 0xFE, 0xFF
+PACK, CODE, WORD, TOP = range(4)
+_BITS = np.arange(8)
 
-CLASS_OF = _classes()
 
-
-def codes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(context * 256 + byte) of each byte and of each text's end, and the texts' bounds."""
+def codes(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """(context, byte) of each byte and of each text's end as one number, the most recent byte first, and the texts' bounds."""
     n = len(offsets) - 1
     bounds = offsets + np.arange(n + 1)
-    body = np.ones(len(data) + n, bool)
     ends = bounds[1:] - 1
+    body = np.ones(len(data) + n, bool)
     body[ends] = False
     text = np.full(len(data) + n, END, np.uint8)
     text[body] = bw.LOWER[data]
-    seen = CLASS_OF[text]
-    context = np.zeros(len(text), np.int32)
     place = np.arange(len(text)) - np.repeat(bounds[:-1], np.diff(bounds))
-    for back in range(DEPTH, 0, -1):
-        earlier = np.zeros(len(text), np.int32)
-        earlier[back:] = seen[:-back]
-        earlier[place < back] = 0
-        context = context * CLASSES + earlier
-    return context * 256 + text, bounds
+    out = text.astype(np.int64)
+    for back in range(1, depth + 1):
+        earlier = np.full(len(text), START, np.int64)
+        earlier[back:] = text[:-back]
+        earlier[place < back] = START
+        out |= earlier << (8 * (depth + 1 - back))
+    return out, bounds
 
 
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -109,16 +105,9 @@ def _whole(n: np.ndarray) -> np.ndarray:
     return _lgamma(n + 1.0)
 
 
-def _tree_counts(leaves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(zeros, ones) of the 255 decisions above 256 byte counts (last axis), root first."""
-    zeros, ones = np.zeros((*leaves.shape[:-1], 255)), np.zeros((*leaves.shape[:-1], 255))
-    level = leaves
-    for depth in range(7, -1, -1):
-        pair = level.reshape(*level.shape[:-1], 1 << depth, 2)
-        at = (1 << depth) - 1
-        zeros[..., at : at + (1 << depth)], ones[..., at : at + (1 << depth)] = pair[..., 0], pair[..., 1]
-        level = pair.sum(-1)
-    return zeros, ones
+def _decisions(byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes (1 to 255) of a byte's eight decisions, and what is decided."""
+    return (1 << _BITS) | (byte[:, None] >> (8 - _BITS)), (byte[:, None] >> (7 - _BITS)) & 1
 
 
 def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -126,222 +115,235 @@ def _mixed(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.logaddexp(own, below) - np.log(2), 1 / (1 + np.exp(np.clip(below - own, -700, 700)))
 
 
-def model(code: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """log10 probability of each byte in each context, from the counts of (context, byte)."""
-    c = CLASSES
-    order = np.argsort(code)
-    code, count = code[order], count[order].astype(np.float64)
-    # most recent byte class first
-    full = np.zeros((c, 256))
-    blocks = []
-    recent = (code // 256) % c
-    for r in range(c):
-        some = recent == r
-        leaves = np.zeros((c, c, 256))
-        ctx, byte = code[some] // 256, code[some] % 256
-        leaves[ctx // (c * c), (ctx // c) % c, byte] = count[some]
-        blocks.append(leaves)
-        full[r] = leaves.sum((0, 1))
-    root0, root1 = _tree_counts(full.sum(0))
-    below_root = np.zeros(255)
-    parts = []
-    for r in range(c):
-        z3, o3 = _tree_counts(blocks[r])  # (c3, c2, 255)
-        pw3 = _kt(z3, o3)
-        z2, o2 = z3.sum(0), o3.sum(0)
-        pw2, w2 = _mixed(_kt(z2, o2), pw3.sum(0))
-        z1, o1 = z2.sum(0), o2.sum(0)
-        pw1, w1 = _mixed(_kt(z1, o1), pw2.sum(0))
-        below_root += pw1
-        one3 = (o3 + 0.5) / (z3 + o3 + 1)
-        one = w2 * ((o2 + 0.5) / (z2 + o2 + 1)) + (1 - w2) * one3
-        one = w1 * ((o1 + 0.5) / (z1 + o1 + 1)) + (1 - w1) * one
-        parts.append(one.astype(np.float32))
-        blocks[r] = None
-    w0 = _mixed(_kt(root0, root1), below_root)[1]
-    own = (root1 + 0.5) / (root0 + root1 + 1)
-    out = np.zeros((c, c, c, 256), np.float32)
-    for r in range(c):
-        one = w0 * own + (1 - w0) * parts[r].astype(np.float64)
-        log1, log0 = np.log10(one), np.log10(1 - one)
-        level = np.zeros((c, c, 1))
-        for depth in range(8):
-            at = (1 << depth) - 1
-            step = np.stack([log0[..., at : at + (1 << depth)], log1[..., at : at + (1 << depth)]], -1)
-            level = (level[..., None] + step).reshape(c, c, -1)
-        out[:, :, r, :] = level
-    return out.reshape(-1)
+def subtrees(code: np.ndarray, count: np.ndarray, depth: int = DEPTH, local: int = LOCAL) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Mixed probabilities of a one at each number's eight decisions, down from ``local`` bytes of context; and for the level above (node, log Pw below, zeros, ones).
+
+    The numbers hold whole subtrees: all that share ``local`` bytes.
+    """
+    node, bit = _decisions(code & 255)
+    n = np.repeat(count.astype(np.float64), 8)
+    ones_in = np.where(bit.ravel() == 1, n, 0.0)
+    zeros_in = n - ones_in
+    mixed = np.zeros(0)
+    child: tuple[np.ndarray, np.ndarray] | None = None
+    for d in range(depth, local - 1, -1):
+        key = ((code >> (8 * (depth - d) + 8))[:, None] << 8 | node).ravel()
+        at, where = np.unique(key, return_inverse=True)
+        zeros, ones = np.bincount(where, zeros_in, len(at)), np.bincount(where, ones_in, len(at))
+        own, one = _kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+        if child is None:
+            weighted, mixed = own, one[where]
+        else:
+            below = np.bincount(np.searchsorted(at, (child[0] >> 16) << 8 | child[0] & 255), child[1], len(at))
+            weighted, w = _mixed(own, below)
+            mixed = (w * one)[where] + (1 - w)[where] * mixed
+        child = at, weighted
+    above, where = np.unique((child[0] >> 16) << 8 | child[0] & 255, return_inverse=True)
+    sums = [np.bincount(where, x, len(above)) for x in (child[1], zeros, ones)]
+    return mixed.reshape(-1, 8), (above, *sums)
+
+
+def crown(key: np.ndarray, below: np.ndarray, zeros: np.ndarray, ones: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) of each node with one byte of context: a one's probability is a + b * (what is mixed below)."""
+    own, one = _kt(zeros, ones), (ones + 0.5) / (zeros + ones + 1)
+    weighted, w1 = _mixed(own, below)
+    node = key & 255
+    z, o, total = (np.bincount(node, x, 256) for x in (zeros, ones, weighted))
+    w0 = _mixed(_kt(z, o), total)[1][node]
+    one0 = ((o + 0.5) / (z + o + 1))[node]
+    a, b = np.zeros(1 << 16), np.zeros(1 << 16)
+    a[key], b[key] = w0 * one0 + (1 - w0) * w1 * one, (1 - w0) * (1 - w1)
+    return a, b
+
+
+def log10_probability(code: np.ndarray, mixed: np.ndarray, top: tuple[np.ndarray, np.ndarray], depth: int = DEPTH) -> np.ndarray:
+    """log10 probability of each number's byte in its context."""
+    node, bit = _decisions(code & 255)
+    key = (code >> (8 * depth))[:, None] << 8 | node
+    one = top[0][key] + top[1][key] * mixed
+    return np.log10(np.where(bit == 1, one, 1 - one)).sum(1)
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % HOLD_OUT[0] == HOLD_OUT[1]
 
 
-def context_counts(rows: DataFrame) -> DataFrame:
-    """(code, n) over all training texts; at most CLASSES**DEPTH * 256 rows, whatever the corpus."""
+class _Tally:
+    """Distinct values and how often training texts have them."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, count = np.zeros(0, np.int32), np.zeros(0, np.int64)
-        for part in bw.batches_of(batches, "text", SHARD_BYTES):
-            got, n = np.unique(codes(*bw.text_buffer(part.column(0)))[0], return_counts=True)
-            both = np.concatenate([code, got])
-            code, where = np.unique(both, return_inverse=True)
-            count = np.bincount(where, np.concatenate([count, n]), len(code)).astype(np.int64)
-        for lo in range(0, len(code), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(code[lo : lo + (1 << 16)], pa.int32()), pa.array(count[lo : lo + (1 << 16)])], names=["code", "n"])
-
-    return rows.where("not held_out").select("text").mapInArrow(run, "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
 
+    def add(self, values: np.ndarray, train: np.ndarray) -> None:
+        seen, n = np.unique(values[train], return_counts=True)
+        other = np.unique(values[~train])
+        self.parts += [(seen, n), (other, np.zeros(len(other), np.int64))]
+        self.size += len(seen) + len(other)
+        if self.size > 1 << 22:
+            self.parts = [self.total()]
+            self.size = len(self.parts[0][0])
 
-def word_counts(rows: DataFrame) -> DataFrame:
-    """(h, c): training occurrences of each word, by its hash."""
+    def total(self) -> tuple[np.ndarray, np.ndarray]:
+        values, where = np.unique(np.concatenate([p[0] for p in self.parts]), return_inverse=True)
+        return values, np.bincount(where, np.concatenate([p[1] for p in self.parts]), len(values)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
 
-        def flush() -> pa.RecordBatch:
-            h, where = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
-            c = np.bincount(where, np.concatenate([k[1] for k in kept]), len(h)).astype(np.int64)
-            kept.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c)], names=["h", "c"])
+def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
+    """Packs (block, raw, ids, held, sizes) and the blocks' distinct numbers and words (block, kind, key, n), as one table.
 
-        for part in bw.batches_of(batches, "text", SHARD_BYTES):
-            data, offsets = bw.text_buffer(part.column(0))
-            kept.append(np.unique(bw.words(data, offsets, bw.NOT_SPACE).hash, return_counts=True))
-            size += len(data)
-            if size > 2 * BLOCK_BYTES:
-                yield flush()
-                size = 0
-        if kept:
-            yield flush()
-
-    return rows.where("not held_out").select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
-
-
-def _postings(rows: DataFrame, kind: str, shared) -> DataFrame:
-    """Word rows (h, block, postings) and document rows (block, number, id, n_tokens, n_bytes, score)."""
-    names = ["h", "block", "postings", "number", "id", "held_out", "n_tokens", "n_bytes", "score"]
+    A block's name is drawn when it is read; the table keeps what one attempt has written.
+    """
+    kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+        block, size, tallies = 0, 0, {}
 
-        table = shared.value
-        block = TaskContext.get().partitionId() << 32
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = n_docs = 0
+        def batch(n: int, kind: int, key=None, count=None, raw=None, ids=None, held=None, sizes=None) -> pa.RecordBatch:
+            arrays = [pa.array(np.full(n, block)), pa.array(np.full(n, kind), pa.int32())]
+            arrays += [pa.nulls(n, t) if x is None else x for x, t in ((key, pa.int64()), (count, pa.int64()), (raw, pa.binary()), (ids, pa.list_(id_type)), (held, pa.list_(pa.bool_())), (sizes, pa.list_(pa.int32())))]
+            return pa.RecordBatch.from_arrays(arrays, names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            h, doc, tf = (np.concatenate([k[i] for k in kept]) for i in range(3))
-            kept.clear()
-            order = np.argsort(h, kind="stable")
-            h, doc, tf = h[order], doc[order], tf[order]
-            # one entry holds a document's number (24 bits) and up to 255 occurrences
-            extra = np.maximum(0, (tf - 1) // 255)
-            entry = np.repeat(doc.astype(np.uint32) << np.uint32(8), extra + 1)
-            last = np.cumsum(extra + 1) - 1
-            many = np.full(len(entry), 255, np.uint32)
-            many[last] = (tf - 255 * extra).astype(np.uint32)
-            entry |= many
-            lead = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            starts = np.concatenate([last[lead] - extra[lead], [len(entry)]])
-            for lo in range(0, len(lead), 1 << 15):
-                hi = min(lo + (1 << 15), len(lead))
-                at = (starts[lo : hi + 1] - starts[lo]) * 4
-                raw = np.ascontiguousarray(entry[starts[lo] : starts[hi]])
-                packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
-                none = [pa.nulls(hi - lo, t) for t in (pa.int32(), key_type, pa.bool_(), pa.int64(), pa.int64(), pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(h[lead[lo:hi]].view(np.int64)), pa.array(np.full(hi - lo, block)), packed, *none], names=names)
-
-        key_type = pa.int64()
+            for k, tally in tallies.items():
+                values, n = tally.total()
+                values = values.view(np.int64)
+                for lo in range(0, len(values), 1 << 16):
+                    part = values[lo : lo + (1 << 16)]
+                    yield batch(len(part), k, pa.array(part), pa.array(n[lo : lo + (1 << 16)]))
+
+        id_type = pa.int64()
         for part in bw.batches_of(batches, "text", SHARD_BYTES):
-            key_type = part.column(0).type
+            id_type = part.column(0).type
             data, offsets = bw.text_buffer(part.column(1))
-            if kept and (size + len(data) > BLOCK_BYTES or n_docs + part.num_rows >= 1 << 24):
+            if not tallies or size + len(data) > block_bytes:
                 yield from flush()
-                block, size, n_docs = block + 1, 0, 0
-            code, bounds = codes(data, offsets)
-            score = np.add.reduceat(table[code].astype(np.float64), bounds[:-1]) if part.num_rows else np.zeros(0)
+                block, size, tallies = int.from_bytes(os.urandom(8), "little") >> 1, 0, {CODE: _Tally(), WORD: _Tally()}
+            train = ~np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
+            code, bounds = codes(data, offsets, depth)
+            tallies[CODE].add(code, np.repeat(train, np.diff(bounds)))
             w = bw.words(data, offsets, bw.NOT_SPACE)
-            distinct, where = np.unique(w.hash, return_inverse=True)
-            pair, tf = np.unique(where * part.num_rows + w.doc, return_counts=True)
-            kept.append((distinct[pair // part.num_rows], pair % part.num_rows + n_docs, tf))
-            number = np.arange(n_docs, n_docs + part.num_rows)
-            spread = bw.mix(number.astype(np.uint64) + np.uint64(block)).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(spread),
-                    pa.array(np.full(part.num_rows, block)),
-                    pa.nulls(part.num_rows, pa.binary()),
-                    pa.array(number, pa.int32()),
-                    part.column(0),
-                    part.column(2),
-                    pa.array(np.diff(w.first) + 1, pa.int64()),
-                    pa.array(np.diff(offsets), pa.int64()),
-                    pa.array(score),
-                ],
-                names=names,
-            )
+            tallies[WORD].add(w.hash, train[w.doc])
+            one = pa.array([0, part.num_rows], pa.int32())
+            raw = pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)], pa.binary())
+            lists = [pa.ListArray.from_arrays(one, x) for x in (part.column(0), part.column(2), pa.array(np.diff(offsets), pa.int32()))]
+            yield batch(1, PACK, None, None, raw, *lists)
             size += len(data)
-            n_docs += part.num_rows
-        if kept:
-            yield from flush()
+        yield from flush()
+
+    names = ["block", "kind", "key", "n", "raw", "ids", "held", "sizes"]
+    return rows.select("id", "text", "held_out").mapInArrow(run, f"block long, kind int, key long, n long, raw binary, ids array<{kind}>, held array<boolean>, sizes array<int>")
 
-    return rows.select("id", "text", "held_out").mapInArrow(run, f"h long, block long, postings binary, number int, id {kind}, held_out boolean, n_tokens long, n_bytes long, score double")
 
+def _trees(counts: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, mixed, below, zeros, ones): mixed probabilities of all numbers, and the sums for the level above."""
+    n = counts.count()
+    dealt = counts.repartition(max(1, -(-n // ROWS)), F.shiftright("key", 8 * (depth - LOCAL) + 8))
 
-def _sums(joined: DataFrame, kind: str) -> DataFrame:
-    """Partial sums per document: known words and the sum of log10(c+1); document rows pass through."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(b.column(0)), np.asarray(b.column(1))) for b in batches if b.num_rows]
+        if not parts:
+            return
+        code, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        parts.clear()
+        order = np.argsort(code, kind="stable")
+        code, count = code[order], count[order]
+        # a task's subtrees, some at a time
+        heads = np.flatnonzero(np.diff(code >> (8 * (depth - LOCAL) + 8))) + 1
+        lo = 0
+        while lo < len(code):
+            at = np.searchsorted(heads, lo + ROWS // 4)
+            hi = int(heads[at]) if at < len(heads) else len(code)
+            mixed, above = subtrees(code[lo:hi], count[lo:hi], depth)
+            flat = np.ascontiguousarray(mixed, np.float32)
+            ends = np.arange(0, (hi - lo) * 32 + 1, 32, dtype=np.int32)
+            packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, CODE), pa.int32()), pa.array(code[lo:hi]), packed, *(pa.nulls(hi - lo, pa.float64()) for _ in range(3))], names=names)
+            k = len(above[0])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, TOP), pa.int32()), pa.array(above[0]), pa.nulls(k, pa.binary()), *(pa.array(x) for x in above[1:])], names=names)
+            lo = hi
+
+    names = ["kind", "key", "mixed", "below", "zeros", "ones"]
+    return dealt.select("key", "n").mapInArrow(run, "kind int, key long, mixed binary, below double, zeros double, ones double")
+
+
+def _probabilities(trees: DataFrame, depth: int) -> DataFrame:
+    """(kind, key, value): log10 probability of each number."""
+    sums = trees.where(F.col("kind") == TOP).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()  # 256 contexts of 255 nodes at most
+    shared = trees.sparkSession.sparkContext.broadcast(crown(*(np.asarray(sums[c]) for c in ("key", "below", "zeros", "ones"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            col = {n: i for i, n in enumerate(part.schema.names)}
-            is_doc = part.column(col["number"]).is_valid()
-            docs = part.filter(is_doc)
-            zero = pa.array(np.zeros(docs.num_rows))
-            passed = [docs.column(col[c]) for c in ("block", "number", "id", "held_out", "n_tokens", "n_bytes", "score")]
-            yield pa.RecordBatch.from_arrays([*passed, zero.cast(pa.int64()), zero], names=out)
-            words = part.filter(pc.invert(is_doc))
-            if not words.num_rows:
-                continue
-            raw, at = bw.text_buffer(words.column(col["postings"]).fill_null(b""))
-            entry = np.frombuffer(raw.tobytes(), np.uint32)
-            each = np.diff(at) // 4
-            c = np.repeat(np.asarray(words.column(col["c"])), each)
-            block = np.repeat(np.asarray(words.column(col["block"])), each)
-            doc, tf = (entry >> np.uint32(8)).astype(np.int64), (entry & np.uint32(255)).astype(np.float64)
-            # sums per document within the batch
-            blocks, b = np.unique(block, return_inverse=True)
-            width = int(doc.max()) + 1 if len(doc) else 1
-            keys, where = np.unique(b * width + doc, return_inverse=True)
-            known = np.bincount(where, tf * (c > 0), len(keys)).astype(np.int64)
-            logs = np.bincount(where, tf * np.log10(c + 1.0), len(keys))
-            none = [pa.nulls(len(keys), passed[i].type) for i in range(2, 7)]
-            yield pa.RecordBatch.from_arrays([pa.array(blocks[keys // width]), pa.array(keys % width, pa.int32()), *none, pa.array(known), pa.array(logs)], names=out)
-
-    out = ["block", "number", "id", "held_out", "n_tokens", "n_bytes", "score", "known", "logs"]
-    return joined.mapInArrow(run, f"block long, number int, id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, known long, logs double")
-
-
-def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            if part.num_rows:
+                code = np.asarray(part.column(0))
+                raw, _ = bw.text_buffer(part.column(1))
+                mixed = np.frombuffer(raw.tobytes(), np.float32).reshape(-1, 8).astype(np.float64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), CODE), pa.int32()), pa.array(code), pa.array(log10_probability(code, mixed, shared.value, depth))], names=["kind", "key", "value"])
+
+    return trees.where(F.col("kind") == CODE).select("key", "mixed").mapInArrow(run, "kind int, key long, value double")
+
+
+def _found(values: np.ndarray, known: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    return values[np.searchsorted(known, asked)]
+
+
+def _scored(packs: DataFrame, values: DataFrame, kind: str, depth: int) -> DataFrame:
+    """Per document: tokens, bytes, score, known words and the sum of log10(c+1) over its words."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        of = np.asarray(right["kind"])
+        key, value = np.asarray(right["key"]), np.asarray(right["value"])
+        tables = []
+        for k in (CODE, WORD):
+            at = np.flatnonzero(of == k)
+            at = at[np.argsort(key[at] if k == CODE else key[at].view(np.uint64))]
+            tables.append((key[at] if k == CODE else key[at].view(np.uint64), value[at]))
+        (known, logs), (words, counts) = tables
+        out = []
+        for raw, ids, held, sizes in zip(left["raw"], left["ids"], left["held"], left["sizes"], strict=True):
+            size = np.asarray(sizes.values).astype(np.int64)
+            offsets = np.concatenate([[0], np.cumsum(size)])
+            data = np.frombuffer(pa.decompress(raw.as_buffer(), decompressed_size=int(offsets[-1]), codec="zstd", asbytes=True), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+            code, bounds = codes(data, offsets, depth)
+            score = np.add.reduceat(_found(logs, known, code), bounds[:-1])
+            w = bw.words(data, offsets, bw.NOT_SPACE)
+            c = _found(counts, words, w.hash) if len(w.hash) else np.zeros(0)
+            n_known = np.bincount(w.doc, c > 0, len(size)).astype(np.int64)
+            base = np.bincount(w.doc, np.log10(c + 1.0), len(size))
+            out.append(pa.table([ids.values, held.values, *(pa.array(x) for x in (np.diff(w.first) + 1, size, score, n_known, base))], names=names))
+        return pa.concat_tables(out) if out else schema_of.empty_table()
+
+    names = ["id", "held_out", "n_tokens", "n_bytes", "score", "known", "logs"]
+    layout = f"id {kind}, held_out boolean, n_tokens long, n_bytes long, score double, known long, logs double"
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema_of = to_arrow_schema(StructType.fromDDL(layout))
+    return packs.groupBy("pack").cogroup(values.groupBy("of")).applyInArrow(run, layout)
+
+
+def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
     """Per document: held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probability), bits_per_byte."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_col).cast("string").alias("text"), F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"))
+    if not LOCAL < depth <= 6:
+        raise ValueError("a number has room for 3 to 6 bytes of context")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
-    counted = context_counts(rows).toArrow()
-    shared = spark.sparkContext.broadcast(model(np.asarray(counted["code"]), np.asarray(counted["n"])))
-    n_docs = rows.where("not held_out").count()  # each training text has one end
-    counts = word_counts(rows)
-    words, distinct = counts.agg(F.sum("c"), F.count("*")).first()
-    n = (words or 0) + n_docs
+    table = written(blocks(rows, block_bytes, depth), "blocks")
+    keys = table.where(F.col("kind") != PACK)
+    counts = written(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
+    n_docs = table.where(F.col("kind") == PACK).agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0  # each training text has one end
+    is_word = F.col("kind") == WORD
+    total, distinct = counts.where(is_word & (F.col("n") > 0)).agg(F.sum("n"), F.count("*")).first()
+    n = (total or 0) + n_docs
     v = distinct + (n_docs > 0)
-    joined = _postings(rows, kind, shared).join(counts, "h", "left").select("block", "postings", "number", "id", "held_out", "n_tokens", "n_bytes", "score", F.coalesce("c", F.lit(0)).alias("c"))
-    summed = _sums(joined, kind).groupBy("block", "number").agg(
-        *(F.max(c).alias(c) for c in ("id", "held_out", "n_tokens", "n_bytes", "score")), F.sum("known").alias("known"), F.sum("logs").alias("logs")
-    )
+    trees = written(_trees(counts.where(F.col("kind") == CODE).select("key", "n"), depth), "trees")
+    values = _probabilities(trees, depth).unionByName(counts.where(is_word).select("kind", "key", F.col("n").cast("double").alias("value")))
+    # both sides come from one table, so the columns are renamed for the joint grouping
+    of_block = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select(F.col("block").alias("of"), "kind", "key", "value")
+    scored = _scored(table.where(F.col("kind") == PACK).select(F.col("block").alias("pack"), "raw", "ids", "held", "sizes"), of_block, kind, depth)
     end = float(np.log10(n_docs + 1.0))
     each = float(np.log10(n + v + 1.0))
-    return summed.select(
+    return scored.select(
         F.col("id").alias(id_col),
         "held_out",
         "n_tokens",

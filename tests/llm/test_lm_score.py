@@ -20,7 +20,7 @@ def definition(texts, train, depth):
             for bit in range(8):
                 where = (1 << bit) | (s[i] >> (8 - bit))
                 for d in range(depth + 1):
-                    node = nodes.setdefault((tuple(s[i - 1 : i - d - 1 : -1]) if d else (), where), [0, 0])
+                    node = nodes.setdefault((tuple(s[i - d : i][::-1]), where), [0, 0])
                     node[s[i] >> (7 - bit) & 1] += learn
 
     def kt(a, b):
@@ -43,7 +43,7 @@ def definition(texts, train, depth):
         pw(((), where))
 
     def one(s, i, where, d=0):
-        node = (tuple(s[i - 1 : i - d - 1 : -1]) if d else (), where)
+        node = (tuple(s[i - d : i][::-1]), where)
         a, b = nodes[node]
         p = (b + 0.5) / (a + b + 1)
         if d == depth:
@@ -101,4 +101,5 @@ def test_deeper_contexts_and_very_long_texts(spark):
     df = spark.createDataFrame([(0, long), (2, "the quick brown fox jumps over"), (3, "vexed nymphs waltz quick")], "doc_id long, text string")
     deep = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.lm_scores(df).collect()}
     flat = {r["doc_id"]: r["bits_per_byte"] for r in lm_score.lm_scores(df, depth=3).collect()}
-    assert deep[0] < 0.01 and deep[2] < deep[3] and deep[0] <= flat[0]
+    # only " the " leaves a choice, once in 22 bytes
+    assert deep[0] < 0.05 and deep[2] < deep[3] and deep[0] <= flat[0]

@@ -211,38 +211,6 @@ def test_lm_score(docs, empty):
     assert lm_score.lm_scores(empty).count() == 0
 
 
-def test_context_tree_is_the_sequential_mixture():
-    """The table holds a distribution in each context, and its root agrees with the definition."""
-    data, offsets = bw.text_buffer(pa.array(["abracadabra", "abra", ""]))
-    code, bounds = lm_score.codes(data, offsets)
-    table = lm_score.model(*np.unique(code, return_counts=True)).astype(float)
-    rows = 10 ** table.reshape(-1, 256)
-    assert np.allclose(rows.sum(1), 1, atol=1e-3)
-    # by hand, the first bit of the first byte after the start
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-    path = {}
-    for c in code.tolist():
-        ctx, bit = c // 256, (c % 256) >> 7
-        k = [ctx % 40, ctx // 40 % 40, ctx // 1600]
-        for d in range(4):
-            path.setdefault(tuple(k[:d]), [0, 0])[bit] += 1
-    def pw(node):
-        own = kt(*path[node])
-        if len(node) == 3:
-            return own
-        return np.logaddexp(own, sum(pw(x) for x in path if len(x) == len(node) + 1 and x[: len(node)] == node)) - math.log(2)
-    def predict(node, rest):
-        a, b = path[node]
-        one = (b + 0.5) / (a + b + 1)
-        if len(node) == 3:
-            return one
-        below = sum(pw(x) for x in path if len(x) == len(node) + 1 and x[: len(node)] == node)
-        w = 1 / (1 + math.exp(below - kt(a, b)))
-        return w * one + (1 - w) * predict((*node, rest[0]), rest[1:])
-    assert abs(rows[0][128:].sum() - predict((), (0, 0, 0))) < 1e-3
-
-
 def test_html(spark):
     page = '<title>t</title><nav><a href=1>Menu</a></nav><article><h1>A &amp; B</h1><p>one <b>two</b>\n three<br>four<div class="ad">buy</div><p>five</article><section class="comments"><p>nice</p></section><footer>f</footer><p cut'
     df = spark.createDataFrame([(1, "u", page, 5), (2, None, None, 5), (3, "u", "", 5), (1, "u", page, 5)], "page_id long, url string, html string, text int")
