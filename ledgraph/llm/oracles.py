@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from . import suffix_dedup
+from . import url_filter as url
 from .decontamination import WINDOW
 from .secrets import BASE_RULES, RULES
-from . import url_filter as url
 from .url_filter import LOWER, UPPER
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
@@ -90,4 +91,54 @@ SELECT page_id, j.host, path, rule, coalesce(verdict, CASE WHEN coalesce(d.score
 FROM j LEFT JOIN trust t ON t.host = j.host LEFT JOIN distrust d ON d.host = j.host"""
 
 
-ORACLES = {"op1_secrets": _secrets(), "op3_quality": _QUALITY, "op4_url_filter": _url_filter(), "op10_decontamination": _DECONTAMINATION}
+_LINE_DEDUP = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, text FROM documents),
+ l AS (SELECT rid, doc_id, i, s[i] AS line, s[i] || chr(10) || s[i + 1] AS two FROM (SELECT rid, doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT rid, doc_id, string_split(text, chr(10)) AS s FROM d))),
+ a AS (SELECT rid, i, row(doc_id, i) = min(row(doc_id, i)) OVER (PARTITION BY two) AS first FROM l WHERE two IS NOT NULL AND regexp_matches(two, '[^\x20\x09-\x0D]')),
+ gone AS (SELECT DISTINCT rid, unnest([i, i + 1]) AS i FROM a WHERE NOT first),
+ kept AS (SELECT l.rid, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (rid, i) GROUP BY l.rid)
+SELECT doc_id, length(coalesce(text, '')) AS n_chars, length(coalesce(t, '')) AS n_kept_chars, length(coalesce(t, '')) < length(coalesce(text, '')) AS changed, sha256(coalesce(t, '')) AS text_sha256 FROM d LEFT JOIN kept USING (rid)"""
+
+_LOWER_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), {_WORDS})"
+
+
+def _reach(nodes: str) -> str:
+    """Components of the links (a, b), both ways round, as (node, least)."""
+    return f"""reach(node, other) AS (SELECT a, b FROM links UNION SELECT reach.node, links.b FROM reach JOIN links ON reach.other = links.a),
+ least AS (SELECT node, min(other) AS least FROM (SELECT node, other FROM reach UNION ALL SELECT {nodes}) GROUP BY node)"""
+
+
+def _near_duplicates(shingle: int = 3, percent: int = 85) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w FROM documents),
+ sh AS (SELECT DISTINCT rid, array_to_string(w[i:i + {shingle - 1}], ' ') AS g FROM (SELECT rid, w, unnest(range(1, greatest(len(w) - {shingle - 2}, 2))) AS i FROM d WHERE len(w) > 0)),
+ n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+ same AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rid != b.rid GROUP BY ALL),
+ links AS (SELECT p.doc_id AS a, q.doc_id AS b FROM same JOIN n nx ON nx.rid = x JOIN n ny ON ny.rid = y JOIN d p ON p.rid = x JOIN d q ON q.rid = y WHERE 100 * c >= {percent} * (nx.n + ny.n - c)),
+ {_reach('doc_id, doc_id FROM d')}
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least AS component_id, doc_id = least AS kept FROM d LEFT JOIN n USING (rid) LEFT JOIN least ON node = doc_id"""
+
+
+def _suffix_dedup(k: int = suffix_dedup.MIN_WORDS) -> str:
+    return f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, {_LOWER_WORDS} AS w, regexp_split_to_array(coalesce(text, ''), {_WORDS}) AS s FROM documents),
+ place AS (SELECT rid, i, sum(length(s[i]) + length(w[i])) OVER (PARTITION BY rid ORDER BY i) AS stop, length(w[i]) AS size FROM (SELECT rid, w, s, unnest(range(1, len(w) + 1)) AS i FROM d)),
+ win AS (SELECT rid, doc_id, i, md5(array_to_string(w[i:i + {k - 1}], ' ')) AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {k - 2})) AS i FROM d WHERE len(w) >= {k})),
+ twice AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g HAVING count(DISTINCT doc_id) > 1),
+ hit AS (SELECT rid, doc_id, i, first, i - row_number() OVER (PARTITION BY rid ORDER BY i) AS run FROM win JOIN twice USING (g)),
+ passage AS (SELECT rid, min(i) AS lo, max(i) + {k - 1} AS hi FROM hit GROUP BY rid, run),
+ span AS (SELECT passage.rid, lo, CAST(p.stop - p.size AS BIGINT) || ':' || CAST(q.stop AS BIGINT) AS span FROM passage JOIN place p ON p.rid = passage.rid AND p.i = lo JOIN place q ON q.rid = passage.rid AND q.i = hi),
+ spans AS (SELECT rid, count(*) AS n_repeats, string_agg(span, ',' ORDER BY lo) AS spans FROM span GROUP BY rid),
+ covered AS (SELECT rid, count(DISTINCT p) AS n_words FROM (SELECT rid, unnest(range(lo, hi + 1)) AS p FROM passage) GROUP BY rid),
+ copies AS (SELECT rid, any_value(doc_id) AS doc_id, bool_or(first < doc_id) AS copy FROM hit GROUP BY rid),
+ links AS (SELECT DISTINCT doc_id AS a, first AS b FROM hit UNION SELECT first, doc_id FROM hit),
+ {_reach('doc_id, doc_id FROM copies')}
+SELECT doc_id, n_repeats, n_words, spans, least AS class_id, copy FROM copies JOIN spans USING (rid) JOIN covered USING (rid) JOIN least ON node = doc_id"""
+
+
+ORACLES = {
+    "op1_secrets": _secrets(),
+    "op2_suffix_dedup": _suffix_dedup(),
+    "op3_quality": _QUALITY,
+    "op4_url_filter": _url_filter(),
+    "op5_line_dedup": _LINE_DEDUP,
+    "op8_near_duplicates": _near_duplicates(),
+    "op10_decontamination": _DECONTAMINATION,
+}
