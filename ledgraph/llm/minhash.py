@@ -12,12 +12,14 @@ orders the classes by the groups t, t+1, ... (each group one step of depth).
    common prefix.  In dense regions each class is also compared with the most
    typical one.  Links are confirmed on the full sets and joined to components.
    A dense region costs a few candidates a class, not its square.
-2. In all trees, the regions (classes that share the first group) that still
-   hold several components are finished.  In small ones each class outside the
-   largest component is compared with all classes in other components.  Dense
-   ones go deeper: an exact prefix filter over their shingles, rare ones first,
-   leaves the pairs that can reach the threshold.  Regions that are one
-   component are done, however dense.
+2. A region (classes that share a prefix of groups) of more than ``DENSE`` classes
+   goes one group deeper, until its parts are small or ``DEPTH`` is reached: each
+   region has the depth that it needs.  In small ones each class outside the
+   largest component is compared with all classes in other components.
+3. What dense regions still hold of different components, whose classes may share
+   the first group only, is finished by an exact prefix filter over their
+   shingles, rare ones first, which leaves the pairs that can reach the threshold.
+   Regions that are one component are done, however dense.
 
 So every pair that shares a first group in some tree is in one component, or is
 compared, or is proven to be below the threshold; no region is cut.
@@ -285,20 +287,43 @@ def pivots(forest: DataFrame) -> DataFrame:
     return hot_join(dense.select("tree", "g0", F.col("node").alias("b"), F.col("n").alias("nb")), typical, ["tree", "g0"], ["b"]).select("a", "b", "na", "nb")
 
 
-def unfinished(forest: DataFrame, labels: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """Pairs (a, b, na, nb) across the components that a region still holds: all in small regions, by prefix filter in dense ones."""
-    members = written(forest.select("tree", "g0", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
-    small = members.where(F.col("size") <= DENSE)
-    pairs = across(small, ["tree", "g0"], F.lit(True), ["node", "n"]).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
-    crowd = members.where(F.col("size") > DENSE)
-    split = crowd.groupBy("tree", "g0").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("tree", "g0")
-    dense = written(crowd.join(split, ["tree", "g0"]).select("node", "n", "label").distinct(), "dense")
-    if not dense.isEmpty():
-        own = written(texts_of(dense.select("node"), classes, texts), "texts")
-        pairs = pairs.unionByName(dense_pairs(dense, own, shingle=shingle, percent=percent))
+def _labelled(forest: DataFrame, labels: DataFrame) -> DataFrame:
+    return written(forest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "members")
+
+
+def _pairs_of(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb"))
+
+
+def deepened(members: DataFrame) -> DataFrame:
+    """Pairs (a, b, na, nb) across components in small regions, each at the least depth at which it is small."""
+    region = members.select("tree", *(f"g{i}" for i in range(DEPTH)), "node", "n", "label", "size")
+    pairs: DataFrame | None = None
+    for depth in range(1, DEPTH + 1):
+        keys = ["tree", *(f"g{i}" for i in range(depth))]
+        if depth > 1:
+            # only what is dense so far is looked at again
+            region = region.where(F.col("size") > DENSE).drop("size")
+            if region.isEmpty():
+                break
+            sizes = written(region.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "sizes")
+            region = written(hot_join(region.withColumnRenamed("n", "n_set"), sizes, keys, ["node"]).withColumnRenamed("n_set", "n"), "region")
+        found = _pairs_of(across(region.where(F.col("size") <= DENSE), keys, F.lit(True), ["node", "n"]))
+        pairs = found if pairs is None else pairs.unionByName(found)
     return pairs
 
 
+def unfinished(members: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame | None:
+    """Pairs (a, b, na, nb) across the components that dense regions still hold, by prefix filter; None if there are none."""
+    crowd = members.where(F.col("size") > DENSE)
+    split = crowd.groupBy("tree", "g0").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("tree", "g0", "n")
+    dense = written(hot_join(crowd.select("tree", "g0", "node", F.col("n").alias("n_set"), "label"), written(split, "split"), ["tree", "g0"], ["node"]).select("node", F.col("n_set").alias("n"), "label").distinct(), "dense")
+    if dense.isEmpty():
+        return None
+    own = written(texts_of(dense.select("node"), classes, texts), "texts")
+    return dense_pairs(dense, own, shingle=shingle, percent=percent)
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, mark, n, node, least) of each document; least is the (id, mark) of its component's first document, null for empty sets."""
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -315,11 +340,14 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     near = neighbours(forest.where(F.col("tree") < SORTED_TREES)).unionByName(pivots(forest))
     first = written(_ordered(near, percent), "pairs")
     links = written(confirmed(first, classes, texts, shingle=shingle, percent=percent), "confirmed")
-    labels = written(components(links), "labels")
-    more = _ordered(unfinished(forest, labels, classes, texts, shingle=shingle, percent=percent), percent)
-    more = written(more.join(first, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent))
-    labels = components(links)
+    labels, seen = written(components(links), "labels"), first
+    for find in (deepened, lambda m: unfinished(m, classes, texts, shingle=shingle, percent=percent)):
+        more = find(_labelled(forest, labels))
+        if more is None:
+            continue
+        more = written(_ordered(more, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
+        links = written(links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent)), "confirmed")
+        labels, seen = written(components(links), "labels"), seen.unionByName(more)
     of_class = written(classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "labelled")
     # a null id stands behind all others
     least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"), F.count("*").alias("n"))
