@@ -22,7 +22,7 @@ never gathered:
    texts are scored by their block's values.
 
 Base: sum over tokens of log10((c+1) / (N + 1*(V+1))).  Words are told apart by
-64-bit hashes.
+63-bit hashes.
 
 Texts are lower-cased (A-Z).  A text ends with a byte that UTF-8 does not have,
 which is scored, too; before its start stands another such byte.
@@ -57,8 +57,13 @@ HOLD_OUT = (7, 2)
 BLOCK_BYTES = 32 << 20
 SHARD_BYTES = 2 << 20
 """Text bytes that are worked on at once; the numbers take some 40 bytes a byte."""
+MOST = 1 << 21
+"""Values that wait to be merged."""
+SLOTS = 1 << 21
+"""Slots of a block's table of values, by hash; values that share one are looked up by bisection."""
 START, END = 0xFE, 0xFF
-PACK, CODE, WORD, TOP = range(4)
+_WORD = np.int64(-(1 << 63))
+"""Keys of words are negative, those of numbers are not."""
 _BITS = np.arange(8)
 
 
@@ -66,19 +71,19 @@ def codes(data: np.ndarray, offsets: np.ndarray, depth: int = DEPTH) -> tuple[np
     """(context, byte) of each byte and of each text's end as one number, the most recent byte first, and the texts' bounds."""
     n = len(offsets) - 1
     bounds = offsets + np.arange(n + 1)
-    ends = bounds[1:] - 1
-    body = np.ones(len(data) + n, bool)
-    body[ends] = False
-    text = np.full(len(data) + n, END, np.uint8)
-    text[body] = bw.LOWER[data]
-    place = np.arange(len(text)) - np.repeat(bounds[:-1], np.diff(bounds))
-    out = text.astype(np.int64)
-    for back in range(1, depth + 1):
-        earlier = np.full(len(text), START, np.int64)
-        earlier[back:] = text[:-back]
-        earlier[place < back] = START
-        out |= earlier << (8 * (depth + 1 - back))
-    return out, bounds
+    # eight bytes stand before each text, so that the words of eight bytes before each place need no bounds
+    stop = np.cumsum(np.diff(offsets) + 9)
+    here = np.ones(len(data) + 9 * n, bool)
+    here[(np.concatenate([[0], stop[:-1]]).astype(np.int64)[:n, None] + np.arange(8)).ravel()] = False
+    body = here.copy()
+    body[stop - 1] = False
+    padded = np.full(len(here), START, np.uint8)
+    padded[body] = bw.LOWER[data]
+    padded[stop - 1] = END
+    out = np.ndarray((max(len(padded) - 8, 0),), "<u8", padded.tobytes(), 0, (1,)) >> np.uint64(64 - 8 * depth)
+    out <<= np.uint64(8)
+    out |= padded[8:]
+    return out[here[8:]].view(np.int64), bounds
 
 
 def _kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -168,6 +173,10 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit(""))) % HOLD_OUT[0] == HOLD_OUT[1]
 
 
+def _word_key(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(1)).view(np.int64) | _WORD
+
+
 class _Tally:
     """Distinct values and how often training texts have them."""
 
@@ -180,7 +189,7 @@ class _Tally:
         other = np.unique(values[~train])
         self.parts += [(seen, n), (other, np.zeros(len(other), np.int64))]
         self.size += len(seen) + len(other)
-        if self.size > 1 << 22:
+        if self.size > MOST:
             self.parts = [self.total()]
             self.size = len(self.parts[0][0])
 
@@ -190,27 +199,26 @@ class _Tally:
 
 
 def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
-    """Packs (block, raw, ids, held, sizes) and the blocks' distinct numbers and words (block, kind, key, n), as one table.
+    """Packs (block, raw, ids, held, sizes) and the blocks' distinct numbers and words (block, key, n), as one table; packs have no key.
 
     A block's name is drawn when it is read; the table keeps what one attempt has written.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, size, tallies = 0, 0, {}
+        block, size, tallies = 0, 0, ()
 
-        def batch(n: int, kind: int, key=None, count=None, raw=None, ids=None, held=None, sizes=None) -> pa.RecordBatch:
-            arrays = [pa.array(np.full(n, block)), pa.array(np.full(n, kind), pa.int32())]
+        def batch(n: int, key=None, count=None, raw=None, ids=None, held=None, sizes=None) -> pa.RecordBatch:
+            arrays = [pa.array(np.full(n, block))]
             arrays += [pa.nulls(n, t) if x is None else x for x, t in ((key, pa.int64()), (count, pa.int64()), (raw, pa.binary()), (ids, pa.list_(id_type)), (held, pa.list_(pa.bool_())), (sizes, pa.list_(pa.int32())))]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for k, tally in tallies.items():
+            for tally in tallies:
                 values, n = tally.total()
-                values = values.view(np.int64)
                 for lo in range(0, len(values), 1 << 16):
                     part = values[lo : lo + (1 << 16)]
-                    yield batch(len(part), k, pa.array(part), pa.array(n[lo : lo + (1 << 16)]))
+                    yield batch(len(part), pa.array(part), pa.array(n[lo : lo + (1 << 16)]))
 
         id_type = pa.int64()
         for part in bw.batches_of(batches, "text", SHARD_BYTES):
@@ -218,25 +226,25 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
             data, offsets = bw.text_buffer(part.column(1))
             if not tallies or size + len(data) > block_bytes:
                 yield from flush()
-                block, size, tallies = int.from_bytes(os.urandom(8), "little") >> 1, 0, {CODE: _Tally(), WORD: _Tally()}
+                block, size, tallies = int.from_bytes(os.urandom(8), "little") >> 1, 0, (_Tally(), _Tally())
             train = ~np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
             code, bounds = codes(data, offsets, depth)
-            tallies[CODE].add(code, np.repeat(train, np.diff(bounds)))
+            tallies[0].add(code, np.repeat(train, np.diff(bounds)))
             w = bw.words(data, offsets, bw.NOT_SPACE)
-            tallies[WORD].add(w.hash, train[w.doc])
+            tallies[1].add(_word_key(w.hash), train[w.doc])
             one = pa.array([0, part.num_rows], pa.int32())
             raw = pa.array([pa.compress(data.tobytes(), codec="zstd", asbytes=True)], pa.binary())
             lists = [pa.ListArray.from_arrays(one, x) for x in (part.column(0), part.column(2), pa.array(np.diff(offsets), pa.int32()))]
-            yield batch(1, PACK, None, None, raw, *lists)
+            yield batch(1, None, None, raw, *lists)
             size += len(data)
         yield from flush()
 
-    names = ["block", "kind", "key", "n", "raw", "ids", "held", "sizes"]
-    return rows.select("id", "text", "held_out").mapInArrow(run, f"block long, kind int, key long, n long, raw binary, ids array<{kind}>, held array<boolean>, sizes array<int>")
+    names = ["block", "key", "n", "raw", "ids", "held", "sizes"]
+    return rows.select("id", "text", "held_out").mapInArrow(run, f"block long, key long, n long, raw binary, ids array<{kind}>, held array<boolean>, sizes array<int>")
 
 
 def _trees(counts: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, mixed, below, zeros, ones): mixed probabilities of all numbers, and the sums for the level above."""
+    """(key, mixed) of all numbers: their mixed probabilities; and (key, below, zeros, ones): the sums for the level above."""
     n = counts.count()
     dealt = counts.repartition(max(1, -(-n // ROWS)), F.shiftright("key", 8 * (depth - LOCAL) + 8))
 
@@ -258,18 +266,18 @@ def _trees(counts: DataFrame, depth: int) -> DataFrame:
             flat = np.ascontiguousarray(mixed, np.float32)
             ends = np.arange(0, (hi - lo) * 32 + 1, 32, dtype=np.int32)
             packed = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(flat)])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(hi - lo, CODE), pa.int32()), pa.array(code[lo:hi]), packed, *(pa.nulls(hi - lo, pa.float64()) for _ in range(3))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(code[lo:hi]), packed, *(pa.nulls(hi - lo, pa.float64()) for _ in range(3))], names=names)
             k = len(above[0])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, TOP), pa.int32()), pa.array(above[0]), pa.nulls(k, pa.binary()), *(pa.array(x) for x in above[1:])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(above[0]), pa.nulls(k, pa.binary()), *(pa.array(x) for x in above[1:])], names=names)
             lo = hi
 
-    names = ["kind", "key", "mixed", "below", "zeros", "ones"]
-    return dealt.select("key", "n").mapInArrow(run, "kind int, key long, mixed binary, below double, zeros double, ones double")
+    names = ["key", "mixed", "below", "zeros", "ones"]
+    return dealt.select("key", "n").mapInArrow(run, "key long, mixed binary, below double, zeros double, ones double")
 
 
 def _probabilities(trees: DataFrame, depth: int) -> DataFrame:
-    """(kind, key, value): log10 probability of each number."""
-    sums = trees.where(F.col("kind") == TOP).groupBy("key").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()  # 256 contexts of 255 nodes at most
+    """(key, value): log10 probability of each number."""
+    sums = trees.where("mixed is null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()  # 256 contexts of 255 nodes at most
     shared = trees.sparkSession.sparkContext.broadcast(crown(*(np.asarray(sums[c]) for c in ("key", "below", "zeros", "ones"))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,36 +286,48 @@ def _probabilities(trees: DataFrame, depth: int) -> DataFrame:
                 code = np.asarray(part.column(0))
                 raw, _ = bw.text_buffer(part.column(1))
                 mixed = np.frombuffer(raw.tobytes(), np.float32).reshape(-1, 8).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), CODE), pa.int32()), pa.array(code), pa.array(log10_probability(code, mixed, shared.value, depth))], names=["kind", "key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(log10_probability(code, mixed, shared.value, depth))], names=["key", "value"])
+
+    return trees.where("mixed is not null").select("key", "mixed").mapInArrow(run, "key long, value double")
+
+
+class _Table:
+    """Values by key: a slot by hash, bisection for keys that share one."""
 
-    return trees.where(F.col("kind") == CODE).select("key", "mixed").mapInArrow(run, "kind int, key long, value double")
+    def __init__(self, key: np.ndarray, value: np.ndarray):
+        order = np.argsort(key)
+        self.key, self.value = key[order], value[order]
+        self.slot_key, self.slot_value = np.zeros(SLOTS, np.int64), np.zeros(SLOTS)
+        at = self._slots(self.key)
+        self.slot_key[at], self.slot_value[at] = self.key, self.value
 
+    @staticmethod
+    def _slots(key: np.ndarray) -> np.ndarray:
+        return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(43)).astype(np.int64)
 
-def _found(values: np.ndarray, known: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    return values[np.searchsorted(known, asked)]
+    def of(self, asked: np.ndarray) -> np.ndarray:
+        """The values of keys that are all there."""
+        at = self._slots(asked)
+        out = self.slot_value[at]
+        other = np.flatnonzero(self.slot_key[at] != asked)
+        out[other] = self.value[np.searchsorted(self.key, asked[other])]
+        return out
 
 
 def _scored(packs: DataFrame, values: DataFrame, kind: str, depth: int) -> DataFrame:
     """Per document: tokens, bytes, score, known words and the sum of log10(c+1) over its words."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        of = np.asarray(right["kind"])
-        key, value = np.asarray(right["key"]), np.asarray(right["value"])
-        tables = []
-        for k in (CODE, WORD):
-            at = np.flatnonzero(of == k)
-            at = at[np.argsort(key[at] if k == CODE else key[at].view(np.uint64))]
-            tables.append((key[at] if k == CODE else key[at].view(np.uint64), value[at]))
-        (known, logs), (words, counts) = tables
+        table = _Table(np.asarray(right["key"]), np.asarray(right["value"]))
         out = []
         for raw, ids, held, sizes in zip(left["raw"], left["ids"], left["held"], left["sizes"], strict=True):
             size = np.asarray(sizes.values).astype(np.int64)
             offsets = np.concatenate([[0], np.cumsum(size)])
             data = np.frombuffer(pa.decompress(raw.as_buffer(), decompressed_size=int(offsets[-1]), codec="zstd", asbytes=True), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
             code, bounds = codes(data, offsets, depth)
-            score = np.add.reduceat(_found(logs, known, code), bounds[:-1])
+            score = np.add.reduceat(table.of(code), bounds[:-1])
             w = bw.words(data, offsets, bw.NOT_SPACE)
-            c = _found(counts, words, w.hash) if len(w.hash) else np.zeros(0)
+            c = table.of(_word_key(w.hash))
             n_known = np.bincount(w.doc, c > 0, len(size)).astype(np.int64)
             base = np.bincount(w.doc, np.log10(c + 1.0), len(size))
             out.append(pa.table([ids.values, held.values, *(pa.array(x) for x in (np.diff(w.first) + 1, size, score, n_known, base))], names=names))
@@ -329,18 +349,18 @@ def lm_scores(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), held_out(F.col(id_col)).alias("held_out"))
     kind = rows.schema["id"].dataType.simpleString()
     table = written(blocks(rows, block_bytes, depth), "blocks")
-    keys = table.where(F.col("kind") != PACK)
-    counts = written(keys.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    n_docs = table.where(F.col("kind") == PACK).agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0  # each training text has one end
-    is_word = F.col("kind") == WORD
-    total, distinct = counts.where(is_word & (F.col("n") > 0)).agg(F.sum("n"), F.count("*")).first()
+    keys = table.where("key is not null")
+    counts = written(keys.groupBy("key").agg(F.sum("n").alias("n")), "counts")
+    packs = table.where("key is null").select(F.col("block").alias("pack"), "raw", "ids", "held", "sizes")
+    n_docs = packs.agg(F.sum(F.size(F.filter("held", lambda h: ~h)))).first()[0] or 0  # each training text has one end
+    total, distinct = counts.where("key < 0 and n > 0").agg(F.sum("n"), F.count("*")).first()
     n = (total or 0) + n_docs
     v = distinct + (n_docs > 0)
-    trees = written(_trees(counts.where(F.col("kind") == CODE).select("key", "n"), depth), "trees")
-    values = _probabilities(trees, depth).unionByName(counts.where(is_word).select("kind", "key", F.col("n").cast("double").alias("value")))
-    # both sides come from one table, so the columns are renamed for the joint grouping
-    of_block = keys.select("block", "kind", "key").join(values, ["kind", "key"]).select(F.col("block").alias("of"), "kind", "key", "value")
-    scored = _scored(table.where(F.col("kind") == PACK).select(F.col("block").alias("pack"), "raw", "ids", "held", "sizes"), of_block, kind, depth)
+    trees = written(_trees(counts.where("key >= 0"), depth), "trees")
+    values = _probabilities(trees, depth).unionByName(counts.where("key < 0").select("key", F.col("n").cast("double").alias("value")))
+    # a key is in a block once, so the join has no hot keys
+    of_block = keys.select("block", "key").join(values, "key").select(F.col("block").alias("of"), "key", "value")
+    scored = _scored(packs, of_block, kind, depth)
     end = float(np.log10(n_docs + 1.0))
     each = float(np.log10(n + v + 1.0))
     return scored.select(
