@@ -11,6 +11,8 @@ characters or none, so byte runs are character runs.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -93,12 +95,24 @@ def shards(n_bytes: np.ndarray, limit: int = SHARD_BYTES) -> Iterator[tuple[int,
 
 
 def batches_of(batches: Iterator[pa.RecordBatch], text: str, limit: int = SHARD_BYTES) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of bounded text bytes."""
+    """The same rows in batches of bounded text bytes; a task's end gives freed memory back, as workers live on."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False) if not pa.types.is_null(column.type) else np.zeros(len(column), int)
         for lo, hi in shards(sizes, limit):
             yield batch.slice(lo, hi - lo)
+    batch = column = sizes = None
+    give_back()
+
+
+def give_back() -> None:
+    """Return memory that is free, but kept by the allocators, to the system."""
+    global _powers
+    if len(_powers[0]) > 2 * SHARD_BYTES:  # from a very long text
+        _powers = (np.ones(1, U64), np.ones(1, U64))
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 class Words(NamedTuple):

@@ -297,20 +297,17 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
 
 def deepened(members: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) across components in small regions, each at the least depth at which it is small."""
-    region = members.select("tree", *(f"g{i}" for i in range(DEPTH)), "node", "n", "label", "size")
-    pairs: DataFrame | None = None
-    for depth in range(1, DEPTH + 1):
-        keys = ["tree", *(f"g{i}" for i in range(depth))]
-        if depth > 1:
-            # only what is dense so far is looked at again
-            region = region.where(F.col("size") > DENSE).drop("size")
-            if region.isEmpty():
-                break
-            sizes = written(region.groupBy(*keys).agg(F.count("*").alias("size")).where("size > 1").withColumn("n", F.col("size")), "sizes")
-            region = written(hot_join(region.withColumnRenamed("n", "n_set"), sizes, keys, ["node"]).withColumnRenamed("n_set", "n"), "region")
-        found = _pairs_of(across(region.where(F.col("size") <= DENSE), keys, F.lit(True), ["node", "n"]))
-        pairs = found if pairs is None else pairs.unionByName(found)
-    return pairs
+    kept = ["node", "n", "label"]
+    small = members.where(F.col("size") <= DENSE).select(F.xxhash64("tree", "g0").alias("region"), *kept)
+    # prefixes of all depths beyond the first at once, for classes in dense regions
+    prefixes = F.array(*(F.struct(F.lit(d).alias("depth"), F.xxhash64("tree", *(f"g{i}" for i in range(d))).alias("region")) for d in range(2, DEPTH + 1)))
+    deep = members.where(F.col("size") > DENSE).select("tree", *kept, F.explode(prefixes).alias("at")).select("tree", "node", F.col("n").alias("n_set"), "label", "at.*")
+    sizes = written(deep.groupBy("depth", "region").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    if not sizes.where(F.col("n") <= DENSE).isEmpty():
+        fit = deep.join(sizes.where(F.col("n") <= DENSE).drop("n"), ["depth", "region"])  # no key has more than DENSE rows
+        least = fit.groupBy("tree", "node").agg(F.min(F.struct("depth", "region", "n_set", "label")).alias("x"))
+        small = small.unionByName(least.select("x.region", "node", F.col("x.n_set").alias("n"), "x.label"))
+    return _pairs_of(across(small, ["region"], F.lit(True), ["node", "n"]))
 
 
 def unfinished(members: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame | None:
