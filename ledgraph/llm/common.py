@@ -14,6 +14,8 @@ SALTS = 32
 """Tasks that a hot key's rows are dealt to."""
 HOT_KEYS = 1000
 """A key is hot if it has more than one row in so many of all; so there are fewer hot keys than this."""
+HOT_ROWS = 256
+"""Rows that a key may have in one task, however few there are in all."""
 
 _local_scratch: dict[str, str] = {}
 
@@ -47,19 +49,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str], how: str = "inner") -> DataFrame:
+def hot_keys(facts: DataFrame, on: list[str]) -> DataFrame | None:
+    """The keys of ``facts`` (one row a key, ``n`` rows each) that have too many rows for one task; None if there are none."""
+    total = facts.agg(F.sum("n")).first()[0] or 0
+    found = facts.where((F.col("n") * HOT_KEYS > total) & (F.col("n") > HOT_ROWS)).select(*on).collect()
+    return facts.sparkSession.createDataFrame(found, facts.select(*on).schema).withColumn("_hot", F.lit(True)) if found else None
+
+
+def dealt(rows: DataFrame, hot: DataFrame, on: list[str], by: list[str]) -> DataFrame:
+    """Rows with ``_salt``: a hot key's rows are dealt to several tasks by the columns ``by``."""
+    salt = F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+
+
+def spread(rows: DataFrame, hot: DataFrame, on: list[str]) -> DataFrame:
+    """Rows with ``_salt``: a hot key's rows go to each of its tasks."""
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+
+
+def hot_join(rows: DataFrame, facts: DataFrame, on: list[str], by: list[str]) -> DataFrame:
     """Rows with the fact of their key; ``facts`` has one row a key, and ``n``, how many rows have it.
 
     A hot key's rows are dealt by ``by`` to several tasks, and its fact goes to each of
     them; hot keys are fewer than ``HOT_KEYS``, so they are broadcast.  ``facts`` is read
     several times and should be a written table.  Keys are not null.
     """
-    total = facts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(facts.where(F.col("n") * HOT_KEYS > total).select(*on, F.lit(True).alias("_hot")))
-    some = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    wide = facts.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), some).otherwise(F.array(F.lit(0))))).drop("_hot", "n")
-    dealt = rows.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    return dealt.join(wide, [*on, "_salt"], how).drop("_salt")
+    hot = hot_keys(facts, on)
+    if hot is None:
+        return rows.join(facts.drop("n"), on)
+    return dealt(rows, hot, on, by).join(spread(facts.drop("n"), hot, on), [*on, "_salt"]).drop("_salt")
 
 
 def free_name(df: DataFrame, name: str) -> str:

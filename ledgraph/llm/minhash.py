@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .adjacency import adjacent
-from .common import HOT_KEYS, SALTS, free_name, hot_join, written
+from .common import dealt, free_name, hot_join, hot_keys, spread, written
 from .components import components
 
 SHINGLE = 5
@@ -216,12 +216,12 @@ def across(rows: DataFrame, on: list[str], condition, values: list[str]) -> Data
     open_rows = written(hot_join(rows, split, on, values).select(*on, *values, "label", "main"), "open")
     rest = open_rows.where("label != main").select(*on, *(F.col(v).alias(f"a_{v}") for v in [*values, "label"]))
     facing = open_rows.select(*on, *(F.col(v).alias(f"b_{v}") for v in [*values, "label"]))
-    total = split.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(split.where(F.col("n") * HOT_KEYS > total).select(*on, F.lit(True).alias("_hot")))
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1))
-    wide = rest.join(hot, on, "left").withColumn("_salt", F.explode(F.when(F.col("_hot"), salts).otherwise(F.array(F.lit(0))))).drop("_hot")
-    dealt = facing.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(*(f"b_{v}" for v in values)), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
-    return wide.join(dealt, [*on, "_salt"]).where((F.col("a_label") != F.col("b_label")) & condition).drop("_salt")
+    hot = hot_keys(split, on)
+    if hot is None:
+        pairs = rest.join(facing, on)
+    else:
+        pairs = spread(rest, hot, on).join(dealt(facing, hot, on, [f"b_{v}" for v in values]), [*on, "_salt"]).drop("_salt")
+    return pairs.where((F.col("a_label") != F.col("b_label")) & condition)
 
 
 def dense_pairs(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
