@@ -55,9 +55,9 @@ ROWS = 200_000
 HOLD_OUT = (7, 2)
 """Modulus and remainder of crc32(id) that is held out."""
 BLOCK_BYTES = 32 << 20
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 """Text bytes that are worked on at once; the numbers take some 40 bytes a byte."""
-MOST = 1 << 21
+MOST = 1 << 20
 """Values that wait to be merged."""
 SLOTS = 1 << 21
 """Slots of a block's table of values, by hash; values that share one are looked up by bisection."""
@@ -201,7 +201,8 @@ class _Tally:
 def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH) -> DataFrame:
     """Packs (block, raw, ids, held, sizes) and the blocks' distinct numbers and words (block, key, n), as one table; packs have no key.
 
-    A block's name is drawn when it is read; the table keeps what one attempt has written.
+    A block's name is drawn when it is read; the table keeps what one attempt has written.  Two blocks that
+    draw the same name are scored as one, which changes nothing.
     """
     kind = rows.schema["id"].dataType.simpleString()
 
@@ -209,7 +210,7 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
         block, size, tallies = 0, 0, ()
 
         def batch(n: int, key=None, count=None, raw=None, ids=None, held=None, sizes=None) -> pa.RecordBatch:
-            arrays = [pa.array(np.full(n, block))]
+            arrays = [pa.array(np.full(n, block), pa.int32())]
             arrays += [pa.nulls(n, t) if x is None else x for x, t in ((key, pa.int64()), (count, pa.int64()), (raw, pa.binary()), (ids, pa.list_(id_type)), (held, pa.list_(pa.bool_())), (sizes, pa.list_(pa.int32())))]
             return pa.RecordBatch.from_arrays(arrays, names=names)
 
@@ -226,7 +227,7 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
             data, offsets = bw.text_buffer(part.column(1))
             if not tallies or size + len(data) > block_bytes:
                 yield from flush()
-                block, size, tallies = int.from_bytes(os.urandom(8), "little") >> 1, 0, (_Tally(), _Tally())
+                block, size, tallies = int.from_bytes(os.urandom(4), "little") >> 1, 0, (_Tally(), _Tally())
             train = ~np.asarray(part.column(2).to_numpy(zero_copy_only=False), bool)
             code, bounds = codes(data, offsets, depth)
             tallies[0].add(code, np.repeat(train, np.diff(bounds)))
@@ -240,7 +241,7 @@ def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, depth: int = DEPTH)
         yield from flush()
 
     names = ["block", "key", "n", "raw", "ids", "held", "sizes"]
-    return rows.select("id", "text", "held_out").mapInArrow(run, f"block long, key long, n long, raw binary, ids array<{kind}>, held array<boolean>, sizes array<int>")
+    return rows.select("id", "text", "held_out").mapInArrow(run, f"block int, key long, n long, raw binary, ids array<{kind}>, held array<boolean>, sizes array<int>")
 
 
 def _trees(counts: DataFrame, depth: int) -> DataFrame:
@@ -276,7 +277,7 @@ def _trees(counts: DataFrame, depth: int) -> DataFrame:
 
 
 def _probabilities(trees: DataFrame, depth: int) -> DataFrame:
-    """(key, value): log10 probability of each number."""
+    """(key, value): log10 probability of each number, in single precision, which takes half the room in shuffles."""
     sums = trees.where("mixed is null").groupBy("key").agg(*(F.sum(c).alias(c) for c in ("below", "zeros", "ones"))).toArrow()  # 256 contexts of 255 nodes at most
     shared = trees.sparkSession.sparkContext.broadcast(crown(*(np.asarray(sums[c]) for c in ("key", "below", "zeros", "ones"))))
 
@@ -286,7 +287,7 @@ def _probabilities(trees: DataFrame, depth: int) -> DataFrame:
                 code = np.asarray(part.column(0))
                 raw, _ = bw.text_buffer(part.column(1))
                 mixed = np.frombuffer(raw.tobytes(), np.float32).reshape(-1, 8).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(log10_probability(code, mixed, shared.value, depth))], names=["key", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(log10_probability(code, mixed, shared.value, depth).astype(np.float32).astype(np.float64))], names=["key", "value"])
 
     return trees.where("mixed is not null").select("key", "mixed").mapInArrow(run, "key long, value double")
 
