@@ -170,8 +170,8 @@ def with_logical(df: DataFrame, by: str, order: str) -> DataFrame:
     return df.withColumn("logical", (F.row_number().over(W.partitionBy(by).orderBy(order)) - 1).cast("int"))
 
 
-def with_hash(df: DataFrame) -> DataFrame:
-    """Rows in the log's layout, absent columns null, with their hashes (those that are there stay, and need no other column)."""
+def with_hash(df: DataFrame, named: bool = False) -> DataFrame:
+    """Rows in the log's layout, absent columns null, with their hashes; those that are there stay. ``named``: all are there, so no other column is needed for them."""
     kept = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in layout()]
     out = df.select(*kept).withColumn("next", F.coalesce("next", F.array().cast("array<string>")))
-    return (out if "hash" in df.columns else out.withColumn("hash", entry_hash())).select(*ENTRY_NAMES)
+    return (out if named else out.withColumn("hash", F.coalesce("hash", entry_hash()))).select(*ENTRY_NAMES)

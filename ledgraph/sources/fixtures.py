@@ -134,7 +134,7 @@ def event_log(spark: SparkSession, sf_dir: str) -> OpLog:
     genesis = spark.range(1).select(
         genesis_hash.alias("hash"), F.lit("a0").alias("author"), F.lit("a0").alias("clock_id"), F.lit(0).cast("long").alias("physical_ms"), F.lit(0).alias("logical"), F.lit("define_ontology").alias("op"), F.lit(USERS.to_json()).alias("schema_json")
     )
-    return OpLog(with_hash(rows).unionByName(with_hash(genesis)))
+    return OpLog(with_hash(rows, named=True).unionByName(with_hash(genesis, named=True)))
 
 
 DAY = 86_400_000
