@@ -343,8 +343,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
         if more is None:
             continue
         more = written(_ordered(more, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
-        links = written(links.unionByName(confirmed(more, classes, texts, shingle=shingle, percent=percent)), "confirmed")
-        labels, seen = written(components(links), "labels"), seen.unionByName(more)
+        if more.isEmpty():
+            continue
+        found = written(confirmed(more, classes, texts, shingle=shingle, percent=percent), "confirmed")
+        seen = seen.unionByName(more)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            labels = written(components(links), "labels")
     of_class = written(classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "labelled")
     # a null id stands behind all others
     least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"), F.count("*").alias("n"))
