@@ -38,6 +38,7 @@ Of rows alike in id and text ``keep_one`` keeps one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -299,9 +300,10 @@ def deepened(members: DataFrame) -> DataFrame:
     """Pairs (a, b, na, nb) across components in small regions, each at the least depth at which it is small."""
     kept = ["node", "n", "label"]
     small = members.where(F.col("size") <= DENSE).select(F.xxhash64("tree", "g0").alias("region"), *kept)
-    # prefixes of all depths beyond the first at once, for classes in dense regions
-    prefixes = F.array(*(F.struct(F.lit(d).alias("depth"), F.xxhash64("tree", *(f"g{i}" for i in range(d))).alias("region")) for d in range(2, DEPTH + 1)))
-    deep = members.where(F.col("size") > DENSE).select("tree", *kept, F.explode(prefixes).alias("at")).select("tree", "node", F.col("n").alias("n_set"), "label", "at.*")
+    # prefixes of all depths beyond the first: DEPTH - 1 rows for each place of a class in a dense region
+    dense = members.where(F.col("size") > DENSE)
+    levels = [dense.select("tree", "node", F.col("n").alias("n_set"), "label", F.lit(d).alias("depth"), F.xxhash64("tree", *(f"g{i}" for i in range(d))).alias("region")) for d in range(2, DEPTH + 1)]
+    deep = reduce(DataFrame.unionByName, levels)
     sizes = written(deep.groupBy("depth", "region").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
     if not sizes.where(F.col("n") <= DENSE).isEmpty():
         fit = deep.join(sizes.where(F.col("n") <= DENSE).drop("n"), ["depth", "region"])  # no key has more than DENSE rows
