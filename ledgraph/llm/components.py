@@ -6,10 +6,17 @@ the links of very large stars dealt to several tasks, so no neighbourhood is
 gathered in one place.  Each round is written to the shared folder, and the rounds
 end when the links no longer change; their number grows with the logarithm of the
 longest chain, so more than ``ROUNDS`` are an error.
+
+Links that are few (``local`` at most, a bound that doesn't grow with the input) can
+be joined on the driver instead, with the same result: rounds over next to nothing
+cost their jobs alone.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,9 +44,30 @@ def _small_star(links: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame) -> DataFrame:
+def _joined(links: pa.Table) -> pa.Table:
+    """(node, label) of every node in the links (u, v), on the driver."""
+    ends = pa.concat_arrays([links.column(c).combine_chunks() for c in ("u", "v")])
+    nodes = ends.unique()
+    nodes = nodes.take(pc.sort_indices(nodes))
+    u, v = np.asarray(pc.index_in(ends, nodes)).astype(np.int64).reshape(2, -1)
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        if (label[u] == label[v]).all():
+            break
+        # the labels themselves move, so a whole component goes with its label
+        np.minimum.at(label, label[u], least)
+        np.minimum.at(label, label[v], least)
+        while (label != label[label]).any():
+            label = label[label]
+    return pa.table({"node": nodes, "label": nodes.take(pa.array(label))})
+
+
+def components(links: DataFrame, local: int = 0) -> DataFrame:
     """(node, label) of every node in a link (a, b); the label is the component's smallest node."""
     now = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u != v").distinct(), "links")
+    if local and now.count() <= local:
+        return now.sparkSession.createDataFrame(_joined(now.toArrow()), now.selectExpr("u AS node", "v AS label").schema)
     state = None
     for _ in range(ROUNDS):
         now = written(_small_star(_large_star(now)), "links")

@@ -16,10 +16,11 @@ orders the classes by the groups t, t+1, ... (each group one step of depth).
    goes one group deeper, until its parts are small or ``DEPTH`` is reached: each
    region has the depth that it needs.  In small ones each class outside the
    largest component is compared with all classes in other components.
-3. What dense regions still hold of different components, whose classes may share
+3. What dense regions hold of different components, whose classes may share
    the first group only, is finished by an exact prefix filter over their
    shingles, rare ones first, which leaves the pairs that can reach the threshold.
-   Regions that are one component are done, however dense.
+   Regions that are one component are done, however dense.  The pairs of 2 and 3
+   are made, confirmed and joined together, which saves the jobs of a pass.
 
 So every pair that shares a first group in some tree is in one component, or is
 compared, or is proven to be below the threshold; no region is cut.
@@ -47,7 +48,7 @@ from pyspark.sql import functions as F
 
 from . import bytewords as bw
 from .adjacency import adjacent
-from .common import dealt, free_name, hot_join, hot_keys, spread, written
+from .common import dealt, free_name, hot_join, hot_keys, joined, spread, written
 from .components import components
 
 SHINGLE = 5
@@ -61,6 +62,8 @@ DENSE = 32
 """Classes of a region beyond which its rest is finished by the prefix filter."""
 SLOTS = 1 << 20
 """Counters of the table that orders shingles by rarity: 8 MB, whatever the corpus."""
+LOCAL_LINKS = 50_000
+"""Links between classes that are joined on the driver: 2 MB of node names, whatever the corpus."""
 _SEED = np.random.default_rng(88172645).integers(1, 1 << 63, (TREES * GROUP, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -214,10 +217,10 @@ def across(rows: DataFrame, on: list[str], condition, values: list[str]) -> Data
     sized = rows.groupBy(*on, "label").agg(F.count("*").alias("c"))
     split = sized.groupBy(*on).agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.count("*").alias("labels")).where("labels > 1")
     split = written(split.select(*on, F.col("top.label").alias("main"), "n"), "split")
-    open_rows = written(hot_join(rows, split, on, values).select(*on, *values, "label", "main"), "open")
+    hot = hot_keys(split, on)
+    open_rows = written(joined(rows, split, on, values, hot).select(*on, *values, "label", "main"), "open")
     rest = open_rows.where("label != main").select(*on, *(F.col(v).alias(f"a_{v}") for v in [*values, "label"]))
     facing = open_rows.select(*on, *(F.col(v).alias(f"b_{v}") for v in [*values, "label"]))
-    hot = hot_keys(split, on)
     if hot is None:
         pairs = rest.join(facing, on)
     else:
@@ -225,13 +228,13 @@ def across(rows: DataFrame, on: list[str], condition, values: list[str]) -> Data
     return pairs.where((F.col("a_label") != F.col("b_label")) & condition)
 
 
-def dense_pairs(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
-    """All pairs (a, b) of dense nodes (node, n, label) in different components that can reach the threshold.
+def prefix_rows(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """(region, node, n, label, place) of dense nodes (node, n, label): the shingles by which those that can reach the threshold meet.
 
     An exact prefix filter: two sets with enough in common share one of their first shingles, in any
     order of all shingles; rare ones come first.  The order comes from counts in a table of fixed size.
-    A shingle that only one set has is skipped.  The places of the shared shingle bound what two sets
-    can have in common, which leaves out sets that are alike, but not enough.
+    A shingle that only one set has is skipped.  The place of a shingle in both sets bounds what they
+    can have in common (``reachable``).
     """
     own = dense.join(texts, "node")
 
@@ -261,14 +264,17 @@ def dense_pairs(dense: DataFrame, texts: DataFrame, *, shingle: int, percent: in
             keep = np.flatnonzero((place < (size - -(-percent * size // 100) + 1)[doc]) & (often > 1))
             rows = pa.array(doc[keep])
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(part.schema.get_field_index(c)).take(rows) for c in ("node", "n", "label")), pa.array(h[keep].view(np.int64)), pa.array(place[keep])], names=["node", "n", "label", "h", "place"]
+                [*(part.column(part.schema.get_field_index(c)).take(rows) for c in ("node", "n", "label")), pa.array(h[keep].view(np.int64)), pa.array(place[keep])], names=["node", "n", "label", "region", "place"]
             )
 
-    rows = written(own.select("node", "n", "label", "text").mapInArrow(prefixes, "node binary, n long, label binary, h long, place long"), "prefixes")
+    return own.select("node", "n", "label", "text").mapInArrow(prefixes, "node binary, n long, label binary, region long, place long").select("region", "node", "n", "label", "place")
+
+
+def reachable(percent: int):
+    """Whether the sizes of two sets, and the places of a shared shingle, allow a link; without places the sizes decide."""
     least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
     enough = F.least(F.col("a_n") - F.col("a_place"), F.col("b_n") - F.col("b_place")) * (100 + percent) >= percent * (F.col("a_n") + F.col("b_n"))
-    found = across(rows, ["h"], (least * 100 >= most * percent) & enough, ["node", "n", "place"])
-    return found.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), F.col("a_n").alias("na"), F.col("b_n").alias("nb")).distinct()
+    return (least * 100 >= most * percent) & (F.col("a_place").isNull() | F.col("b_place").isNull() | enough)
 
 
 def crowded(classes: DataFrame) -> DataFrame:
@@ -297,7 +303,7 @@ def _pairs_of(rows: DataFrame) -> DataFrame:
 
 
 def deepened(members: DataFrame) -> DataFrame:
-    """Pairs (a, b, na, nb) across components in small regions, each at the least depth at which it is small."""
+    """(region, node, n, label) of the classes in small regions, each at the least depth at which it is small."""
     kept = ["node", "n", "label"]
     small = members.where(F.col("size") <= DENSE).select(F.xxhash64("tree", "g0").alias("region"), *kept)
     # prefixes of all depths beyond the first: DEPTH - 1 rows for each place of a class in a dense region
@@ -309,18 +315,30 @@ def deepened(members: DataFrame) -> DataFrame:
         fit = deep.join(sizes.where(F.col("n") <= DENSE).drop("n"), ["depth", "region"])  # no key has more than DENSE rows
         least = fit.groupBy("tree", "node").agg(F.min(F.struct("depth", "region", "n_set", "label")).alias("x"))
         small = small.unionByName(least.select("x.region", "node", F.col("x.n_set").alias("n"), "x.label"))
-    return _pairs_of(across(small, ["region"], F.lit(True), ["node", "n"]))
+    return small
 
 
 def unfinished(members: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame | None:
-    """Pairs (a, b, na, nb) across the components that dense regions still hold, by prefix filter; None if there are none."""
+    """The prefix rows of the classes in dense regions that hold different components; None if there are none."""
     crowd = members.where(F.col("size") > DENSE)
     split = crowd.groupBy("tree", "g0").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("tree", "g0", "n")
     dense = written(hot_join(crowd.select("tree", "g0", "node", F.col("n").alias("n_set"), "label"), written(split, "split"), ["tree", "g0"], ["node"]).select("node", F.col("n_set").alias("n"), "label").distinct(), "dense")
     if dense.isEmpty():
         return None
     own = written(texts_of(dense.select("node"), classes, texts), "texts")
-    return dense_pairs(dense, own, shingle=shingle, percent=percent)
+    return prefix_rows(dense, own, shingle=shingle, percent=percent)
+
+
+def remaining(members: DataFrame, classes: DataFrame, texts: DataFrame, *, shingle: int, percent: int) -> DataFrame:
+    """Pairs (a, b, na, nb) across components in small regions, and by prefix filter in dense ones.
+
+    Small regions and shared shingles are both places where classes meet, so one join makes all pairs.
+    """
+    rows = deepened(members).withColumn("place", F.lit(None).cast("long"))
+    more = unfinished(members, classes, texts, shingle=shingle, percent=percent)
+    if more is not None:
+        rows = rows.unionByName(more)
+    return _pairs_of(across(written(rows, "meetings"), ["region"], reachable(percent), ["node", "n", "place"]))
 
 
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -339,19 +357,13 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", s
     near = neighbours(forest.where(F.col("tree") < SORTED_TREES)).unionByName(pivots(forest))
     first = written(_ordered(near, percent), "pairs")
     links = written(confirmed(first, classes, texts, shingle=shingle, percent=percent), "confirmed")
-    labels, seen = written(components(links), "labels"), first
-    for find in (deepened, lambda m: unfinished(m, classes, texts, shingle=shingle, percent=percent)):
-        more = find(_labelled(forest, labels))
-        if more is None:
-            continue
-        more = written(_ordered(more, percent).join(seen, ["a", "b"], "left_anti"), "pairs")
-        if more.isEmpty():
-            continue
+    labels = written(components(links, LOCAL_LINKS), "labels")
+    more = remaining(_labelled(forest, labels), classes, texts, shingle=shingle, percent=percent)
+    more = written(_ordered(more, percent).join(first, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
         found = written(confirmed(more, classes, texts, shingle=shingle, percent=percent), "confirmed")
-        seen = seen.unionByName(more)
         if not found.isEmpty():
-            links = links.unionByName(found)
-            labels = written(components(links), "labels")
+            labels = written(components(links.unionByName(found), LOCAL_LINKS), "labels")
     of_class = written(classes.select("node", "first").join(labels, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label")), "labelled")
     # a null id stands behind all others
     least = of_class.groupBy("label").agg(F.coalesce(F.min(F.when(F.col("first.id").isNotNull(), F.col("first"))), F.min("first")).alias("least"), F.count("*").alias("n"))

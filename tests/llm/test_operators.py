@@ -13,6 +13,7 @@ import pytest
 import corpus_pipeline
 from ledgraph.llm import bytewords as bw
 from ledgraph.llm import decontamination, html_text, line_dedup, lm_score, minhash, pieces, quality, secrets, suffix_dedup, trigrams, url_filter
+from ledgraph.llm.components import components
 
 WORD = re.compile("[^ \t-\r]+")
 LOREM = [f"w{i}x{i * i % 97}" for i in range(400)]
@@ -407,3 +408,19 @@ def test_pipeline(spark, docs, tmp_path):
     spark.createDataFrame(ITEMS[2:4], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     out = {r["doc_id"]: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert 12 not in out and 0 in out and out[0]["exact"] and 3 in out and 8 not in out
+
+
+def test_components_on_the_driver_are_those_of_the_rounds(spark):
+    rng = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(30)]
+    frame = spark.createDataFrame([(bytes([200]) + a.to_bytes(3), bytes([200]) + b.to_bytes(3)) for a, b in links], "a binary, b binary")
+    want = counted(components(frame).collect())
+    assert counted(components(frame, len(links)).collect()) == want and max(want.values()) == 1
+    none = frame.limit(0)
+    assert components(none, 10).count() == 0 and components(none, 10).schema["label"].dataType.simpleString() == "binary"
+
+
+def test_near_duplicates_do_not_depend_on_where_links_are_joined(docs, spark, monkeypatch):
+    want = counted(minhash.near_duplicates(docs).collect())
+    monkeypatch.setattr(minhash, "LOCAL_LINKS", 0)
+    assert counted(minhash.near_duplicates(docs).collect()) == want
