@@ -410,6 +410,31 @@ def test_pipeline(spark, docs, tmp_path):
     assert 12 not in out and 0 in out and out[0]["exact"] and 3 in out and 8 not in out
 
 
+def test_line_dedup_takes_copied_chunks_whole_and_extends_them(spark):
+    rng = np.random.default_rng(11)
+    passage = [f"shared line {k}" if k % 7 else "" for k in range(60)]
+    rows = [(i, "\n".join([f"own {i} {j}" for j in range(int(rng.integers(1, 6)))] + passage + [f"end {i}", "x", "", "", "", "y"])) for i in range(12)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    keyed = line_dedup._keyed(frame, "doc_id", "text")
+    copies = line_dedup.copied_chunks(keyed)
+    chunks = {r["id"]: r["chunks"] for r in copies.collect()}
+    # the first document holds no copy; the others' chunks have most of the passage
+    assert set(chunks) == set(range(1, 12)) and all(sum(c["lines"] for c in found) > 30 for found in chunks.values())
+    inside = {(i, c["number"] + j) for i, found in chunks.items() for c in found for j in range(c["lines"] - 1)}
+    rest = {(r["id"], r["number"]) for r in line_dedup.rest_anchors(keyed, copies).collect()}
+    every = set()
+    for i, text in rows:
+        lines = text.split("\n")
+        every |= {(i, k) for k in range(len(lines) - 1) if lines[k].strip() or lines[k + 1].strip()}
+    assert rest == every - inside and len(rest) < len(every)
+    # heads and tails go too, and of five lines with blanks inside those that lie in two with a word
+    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(frame).collect()}
+    assert got[0] == rows[0][1]
+    for i, text in rows[1:]:
+        own = [x for x in text.split("\n") if x.startswith("own")]
+        assert got[i] == "\n".join([*own, f"end {i}", ""])
+
+
 def test_components_on_the_driver_are_those_of_the_rounds(spark):
     rng = np.random.default_rng(3)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 300, (220, 2))] + [(1000 + k, 1001 + k) for k in range(40)] + [(2000, 2001 + k) for k in range(30)]
