@@ -60,19 +60,22 @@ class OpLog:
         """Entries that no entry names as a parent."""
         return self.df.select("hash").join(self.links.select(F.col("parent").alias("hash")), "hash", "left_anti")
 
-    def heads_known(self, cursor: list[str]) -> bool:
+    def heads_known(self, cursor: list[str] | DataFrame) -> bool:
+        if isinstance(cursor, DataFrame):
+            return cursor.join(self.df.select("hash"), "hash", "left_anti").isEmpty()
         wanted = set(cursor)
         return self.df.where(F.col("hash").isin(list(wanted))).select("hash").distinct().count() == len(wanted)
 
-    def entries_since(self, cursor: list[str] | str | None = None) -> DataFrame:
-        """Entries that are no ancestors of the cursor, in clock order; unknown hashes are an error."""
-        cursor = [cursor] if isinstance(cursor, str) else list(cursor or [])
+    def entries_since(self, cursor: list[str] | str | DataFrame | None = None) -> DataFrame:
+        """Entries that are no ancestors of the cursor (hashes, or a frame of them), in clock order; unknown hashes are an error."""
+        if not isinstance(cursor, DataFrame):
+            cursor = [cursor] if isinstance(cursor, str) else list(cursor or [])
         out = self.df
-        if cursor:
+        if isinstance(cursor, DataFrame) or cursor:
             if not self.heads_known(cursor):
                 raise ValueError("unknown hash in cursor")
-            seen = traverse.ancestors(self.links, self.df.sparkSession.createDataFrame([(h,) for h in cursor], "hash string"))
-            out = out.join(seen, "hash", "left_anti")
+            heads = cursor if isinstance(cursor, DataFrame) else self.df.sparkSession.createDataFrame([(h,) for h in cursor], "hash string")
+            out = out.join(traverse.ancestors(self.links, heads), "hash", "left_anti")
         return out.orderBy("physical_ms", "logical", F.desc("clock_id"), "hash")
 
     def entries_affecting(self, entity: str) -> DataFrame:

@@ -701,8 +701,8 @@ def tail_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     firsts = log.df.where(F.col("hash").isin(cursor)).groupBy("author").agg(F.min_by("hash", F.struct("physical_ms", "logical")).alias("hash")).collect()
     tail = TailSubscription(lambda: log, [r["hash"] for r in firsts])
     size = (log.count() - 5) // 3 + 1
-    rows = [(f"batch {i}", len(tail.next_batch(size))) for i in (1, 2, 3)]
-    rows.append(("after", len(tail.next_batch(size, timeout_ms=10))))
+    rows = [(f"batch {i}", tail.next_frame(size).count()) for i in (1, 2, 3)]
+    rows.append(("after", tail.next_frame(size, timeout_ms=10).count()))
     for name, t in (("stale", TailSubscription(lambda: log, ["0" * 64])), ("closed", tail)):
         tail.close() if name == "closed" else None
         try:

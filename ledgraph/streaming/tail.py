@@ -11,7 +11,9 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.clock import clock
+from ..functions.numbering import numbered
 from ..functions.schema import OPLOG
+from ..functions.scratch import written
 from ..operators.oplog import OpLog
 
 POLL_S = 0.2
@@ -53,48 +55,56 @@ class TailSubscription:
     """Pull entries after a cursor (a set of heads), in clock order.
 
     A delivery that takes several batches goes on over the log as it was when it began, so entries
-    that arrive meanwhile, with whatever clock, belong to the next one.
+    that arrive meanwhile, with whatever clock, belong to the next one.  It is sorted and numbered over
+    the cluster once, and a batch is a range of its numbers.  Where many entries are heads, as after
+    bulk writes, so is the cursor; it is a table until it is asked for.
     """
 
     def __init__(self, log: Callable[[], OpLog], cursor: list[str] | None = None):
-        self._log, self._cursor = log, list(cursor or [])
+        self._log = log
+        self._cursor: list[str] | DataFrame = list(cursor or [])
         self._frozen: OpLog | None = None
-        self._place: tuple | None = None
+        self._delivery: DataFrame | None = None
+        self._place = self._end = 0
         self._closed = False
 
     def next_batch(self, max_count: int = 1000, timeout_ms: int = 0) -> list[dict]:
         """Up to so many entries; if there is none, wait for the timeout.  A cursor that compaction has removed is an error."""
+        return [r.asDict(recursive=True) for r in self.next_frame(max_count, timeout_ms).orderBy(clock(), "hash").collect()]
+
+    def next_frame(self, max_count: int = 1000, timeout_ms: int = 0) -> DataFrame:
+        """``next_batch`` as a frame, for batches of any size."""
         if max_count < 1:
             raise ValueError("max_count is at least 1")
         until = time.monotonic() + timeout_ms / 1000
-        while not (got := self._pull(max_count)) and time.monotonic() < until:
+        while True:
+            got, n = self._pull(max_count)
+            if n or time.monotonic() >= until:
+                return got
             time.sleep(min(POLL_S, max(0.0, until - time.monotonic())))
-        return got
 
-    def _pull(self, max_count: int) -> list[dict]:
+    def _pull(self, max_count: int) -> tuple[DataFrame, int]:
         if self._closed:
             raise RuntimeError("the subscription is closed")
-        if self._frozen is None:
+        if self._delivery is None:
             log = self._log()
             if self._cursor and not log.heads_known(self._cursor):
                 raise ValueError("the cursor is stale")
-            self._frozen = log
-        rows = self._frozen.entries_since(self._cursor).withColumn("_at", clock())
-        if self._place is not None:
-            physical, logical, id_, hash_ = self._place
-            last = F.struct(F.lit(physical).cast("long").alias("physical_ms"), F.lit(logical).alias("logical"), F.lit(id_).alias("id"))
-            rows = rows.where((F.col("_at") > last) | (F.col("_at") == last) & (F.col("hash") > hash_))
-        got = rows.orderBy("_at", "hash").limit(max_count).collect()
-        if len(got) == max_count:
-            at = got[-1]["_at"]
-            self._place = (at["physical_ms"], at["logical"], at["id"], got[-1]["hash"])
-        else:
-            self._cursor = sorted(r["hash"] for r in self._frozen.heads().collect())
-            self._frozen = self._place = None
-        return [{k: v for k, v in r.asDict(recursive=True).items() if k != "_at"} for r in got]
+            rows, self._end = numbered(log.entries_since(self._cursor).withColumn("_clock", clock()), ["_clock", "hash"], "_n")
+            self._frozen, self._delivery, self._place = log, rows.drop("_clock"), 0
+        first, last = self._place, min(self._place + max_count, self._end)
+        got = self._delivery.where((F.col("_n") >= first) & (F.col("_n") < last)).drop("_n")
+        self._place = last
+        if last - first < max_count:
+            if self._end or not isinstance(self._cursor, DataFrame):  # else nothing came, and the cursor stays
+                self._cursor = written(self._frozen.heads(), "cursor")
+            self._frozen = self._delivery = None
+        return got, last - first
 
     def current_cursor(self) -> list[str]:
         """Heads of the last delivery that ended."""
+        if isinstance(self._cursor, DataFrame):
+            return sorted(r["hash"] for r in self._cursor.collect())
         return list(self._cursor)
 
     def close(self) -> None:

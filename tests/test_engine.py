@@ -361,3 +361,20 @@ def test_reopening_needs_every_parent(spark, tmp_path):
     store.snapshot().where("label != 'b' or label is null").write.parquet(str(tmp_path / "torn"))
     with pytest.raises(ValueError):
         GraphStore.open(spark, str(tmp_path / "torn"))
+
+
+def test_a_tail_of_many_heads_gathers_nothing_on_the_driver(spark, tmp_path, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    from ledgraph.streaming.tail import TailSubscription
+
+    store = GraphStore(spark, "one", SCHEMA, str(tmp_path / "log"))
+    store.append_ops(spark.range(300).selectExpr("id AS seq", "'add_node' AS op", "concat('n', id) AS node_id", "'thing' AS node_type", "'x' AS label"))
+    tail, most, collect = TailSubscription(lambda: store.log), [0], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (rows := collect(self), most.append(len(rows)))[0])
+    frames = [tail.next_frame(200), tail.next_frame(200)]
+    later = tail.next_frame(200)
+    assert [f.count() for f in [*frames, later]] == [200, 101, 0] and max(most) < 100
+    monkeypatch.undo()
+    assert [r["logical"] for r in frames[0].orderBy("logical").collect()][1:] == sorted(r["logical"] for r in frames[0].collect())[1:]
+    assert len({r["hash"] for f in frames for r in f.collect()}) == 301 and len(tail.current_cursor()) == 300
