@@ -63,11 +63,11 @@ class GraphStore:
         self._materialized: Materialized | None = None
         self.peers = sync.PeerRegistry(instance_id)
         self.clock = HybridClock(instance_id)
-        self._heads: list[str] = []
+        self._heads: list[str] | None = []  # None: to be looked up by the next write
         existing = self._existing(path)
         if existing is not None:
             self._stored = existing
-            self._heads = [r["hash"] for r in self.log.heads().collect()]
+            self._heads = None
             last = existing.agg(F.max(F.struct("physical_ms", "logical"))).first()[0]
             if last is not None:
                 self.clock = HybridClock(instance_id, last[0], last[1])
@@ -107,7 +107,7 @@ class GraphStore:
     def _settle(self) -> None:
         """Heads and clock from the stored entries; what was derived from others goes."""
         self._known, self._waiting, self._base_graph, self._complete, self._schema, self._materialized = {}, {}, None, None, None, None
-        self._heads = [r["hash"] for r in self.log.heads().collect()]
+        self._heads = None
         last = self._stored.agg(F.max(F.struct("physical_ms", "logical"))).first()[0]
         self.clock = self.clock.merge(HybridClock("", last[0], last[1]))
 
@@ -124,7 +124,7 @@ class GraphStore:
     def _append(self, fields: Mapping[str, object]) -> str:
         self.clock = self.clock.tick()
         entry = dict.fromkeys(ENTRY_NAMES) | dict(fields)
-        entry |= {"author": self.instance_id, "clock_id": self.instance_id, "physical_ms": self.clock.physical_ms, "logical": self.clock.logical, "next": sorted(self._heads)}
+        entry |= {"author": self.instance_id, "clock_id": self.instance_id, "physical_ms": self.clock.physical_ms, "logical": self.clock.logical, "next": self._parents()}
         entry["hash"] = hash_of(entry)
         if self._key is not None:
             entry["signature"] = signing.sign(self._key, bytes.fromhex(entry["hash"]))
@@ -136,6 +136,12 @@ class GraphStore:
         self._notify(entry, True)
         return entry["hash"]
 
+    def _parents(self) -> list[str]:
+        """The heads, as an entry names them; all rows of a bulk append are heads until something is built on them."""
+        if self._heads is None:
+            self._heads = [r["hash"] for r in self.log.heads().collect()]
+        return sorted(self._heads)
+
     def _touch(self, id_: str, change: dict) -> None:
         """Keep what is remembered of an id up with a write."""
         if len(self._known) > 2 * LOOKUPS:
@@ -243,7 +249,7 @@ class GraphStore:
         if not n:
             return 0
         rows = rows.withColumn("logical", (F.col("_n") + self.clock.logical + 1).cast("int")).drop("seq", "_n")
-        rows = rows.withColumn("physical_ms", F.lit(self.clock.physical_ms)).withColumn("author", F.lit(self.instance_id)).withColumn("clock_id", F.lit(self.instance_id)).withColumn("next", F.array(*(F.lit(h) for h in self._heads)))
+        rows = rows.withColumn("physical_ms", F.lit(self.clock.physical_ms)).withColumn("author", F.lit(self.instance_id)).withColumn("clock_id", F.lit(self.instance_id)).withColumn("next", F.array(*(F.lit(h) for h in self._parents())))
         entries = with_hash(rows)
         if self.path:
             self._write(entries)
@@ -252,7 +258,7 @@ class GraphStore:
             self._stored = entries if self._stored is None else self._stored.unionByName(entries)
         self.clock = HybridClock(self.instance_id, self.clock.physical_ms, self.clock.logical + n + 1)
         self._known, self._base_graph, self._complete, self._materialized = {}, None, None, None
-        self._heads = [r["hash"] for r in self.log.heads().collect()]
+        self._heads = None
         return n
 
     # -- durability ---------------------------------------------------------
@@ -416,7 +422,9 @@ class GraphStore:
     # -- compaction ---------------------------------------------------------
 
     def verify_compaction_safe(self) -> tuple[bool, list[str]]:
-        heads = {r["hash"] for r in self.log.heads().collect()}
+        # one more than the longest cursor tells that a cursor lacks some
+        most = max((len(set(c)) for c in self._cursors.values()), default=0) + 1
+        heads = {r["hash"] for r in self.log.heads().limit(most).collect()} if self._cursors else set()
         reasons = [f"subscriber {name} is behind" for name, cursor in self._cursors.items() if set(cursor) != heads]
         if not self.peers.all_synced_since(self.clock.physical_ms):
             reasons.append("a peer has not synced the latest entry")

@@ -378,3 +378,19 @@ def test_a_tail_of_many_heads_gathers_nothing_on_the_driver(spark, tmp_path, mon
     monkeypatch.undo()
     assert [r["logical"] for r in frames[0].orderBy("logical").collect()][1:] == sorted(r["logical"] for r in frames[0].collect())[1:]
     assert len({r["hash"] for f in frames for r in f.collect()}) == 301 and len(tail.current_cursor()) == 300
+
+
+def test_a_bulk_append_gathers_no_heads(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+
+    store, most, collect = GraphStore(spark, "one", SCHEMA), [0], DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda self: (rows := collect(self), most.append(len(rows)))[0])
+    assert store.append_ops(spark.range(300).selectExpr("id AS seq", "'add_node' AS op", "concat('n', id) AS node_id", "'thing' AS node_type", "'x' AS label")) == 300
+    assert max(most) < 100
+    monkeypatch.undo()
+    heads = sorted(r["hash"] for r in store.log.df.where("op = 'add_node'").collect())
+    store.register_subscriber_cursor("all", heads)
+    store.register_subscriber_cursor("few", heads[:3])
+    assert [r for r in store.verify_compaction_safe()[1] if "subscriber" in r] == ["subscriber few is behind"]
+    # the next write builds on them all
+    assert store.get(store.add_node("m", "thing", "M"))["next"] == heads
