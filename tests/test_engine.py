@@ -394,3 +394,29 @@ def test_a_bulk_append_gathers_no_heads(spark, monkeypatch):
     assert [r for r in store.verify_compaction_safe()[1] if "subscriber" in r] == ["subscriber few is behind"]
     # the next write builds on them all
     assert store.get(store.add_node("m", "thing", "M"))["next"] == heads
+
+
+def test_causal_order_takes_leaves_over_the_cluster(spark, monkeypatch):
+    from ledgraph.operators import oplog
+
+    rng = random.Random(3)
+    names, rows = [f"{i:03d}" for i in range(160)], []
+    for i, h in enumerate(names):
+        some = rng.sample(names[: min(i, 25)], k=min(i, rng.randrange(4)))
+        rows.append(tuple((dict.fromkeys(layout().names) | {"hash": h, "op": "add_node", "physical_ms": rng.randrange(3), "logical": 0, "next": some + some[:1] + ["absent"]})[c] for c in layout().names))
+    key, left = {r[0]: (r[3], r[4], r[0]) for r in rows}, {r[0]: {p for p in r[5] if p != "absent"} for r in rows}
+    queue = sorted((h for h in names if not left[h]), key=key.get)
+    for h in queue:
+        queue += sorted((c for c in names if h in left[c] and len(left[c]) == 1), key=key.get)
+        for c in names:
+            left[c].discard(h)
+    got = OpLog(spark.createDataFrame(rows, layout())).causal_positions().orderBy("pos").collect()
+    assert [r["hash"] for r in got] == queue and [r["pos"] for r in got] == list(range(160))
+    # only the 25 entries that others build on meet in one group
+    pairs = [(3, -1), (0, -1), (1, -1), (2, -1), (3, 0), (2, 1), (1, 0)]
+    assert oplog._in_order()(__import__("pandas").DataFrame(pairs, columns=["id", "parent_id"])).to_dict("list") == {"id": [0, 1, 3, 2], "place": [0, 1, 2, 3]}
+    sizes = []
+    real = oplog.numbered
+    monkeypatch.setattr(oplog, "numbered", lambda *a: (out := real(*a), sizes.append((a[2], out[1])))[0])
+    OpLog(spark.createDataFrame(rows, layout())).causal_positions()
+    assert dict(sizes)["pos"] == 160 and dict(sizes)["id"] <= 25
