@@ -420,3 +420,19 @@ def test_causal_order_takes_leaves_over_the_cluster(spark, monkeypatch):
     monkeypatch.setattr(oplog, "numbered", lambda *a: (out := real(*a), sizes.append((a[2], out[1])))[0])
     OpLog(spark.createDataFrame(rows, layout())).causal_positions()
     assert dict(sizes)["pos"] == 160 and dict(sizes)["id"] <= 25
+
+
+def test_views_read_no_edges_that_the_schema_keeps_out(spark):
+    from ledgraph.sources.fixtures import star_graph
+
+    edges = star_graph(spark, "/root/testdata/sf0.001").view(node_types=["customer", "order"]).all_edges()
+    assert {f.rsplit("/", 1)[1] for f in edges.inputFiles()} == {"orders.parquet", "customer.parquet"} and edges.count() == spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+
+
+def test_checkpoints_are_taken_apart_once(spark):
+    log = entries(spark, [node((2, 0, "a"), "b", name="x"), node((1, 0, "a"), "a", "server", port=1), ("add_edge", (3, 0, "a"), {"edge_id": "e", "edge_type": "LINKS", "source_id": "a", "target_id": "b", "properties": {}})])
+    small = compact(log, log.materialize(), "a", 1000)
+    boxed = small.df.first()["ckpt_ops"]
+    assert [(x["op"], x["node_id"] or x["edge_id"] or x["entity_id"], x["key"], x["properties"]) for x in boxed] == [("define_ontology", None, None, None), ("add_node", "a", None, {}), ("add_node", "b", None, {}), ("update_property", "a", "port", None), ("update_property", "b", "name", None), ("add_edge", "e", None, {})]
+    m = small.materialize()
+    assert small.verify_integrity() and any("/boxed-" in f for f in m.operations.inputFiles()) and ids(m.edges.select("edge_id")) == ["e"]
