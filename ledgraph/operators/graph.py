@@ -36,7 +36,8 @@ class Graph:
 
     def all_edges(self) -> DataFrame:
         """Live edges whose ends both live."""
-        return self._semi(self.edges.where("live"), "source_id", "target_id")
+        # sources last: grouping by them and joins on them take the rows as they are dealt out
+        return self._semi(self.edges.where("live"), "target_id", "source_id")
 
     def get_node(self, node_id: str) -> DataFrame:
         return self.all_nodes().where(F.col("node_id") == node_id)
